@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from msgpulse.plans import sentiment  # noqa: F401
+from msgpulse.plans import corpus, sentiment  # noqa: F401
 from msgpulse.plans.catalogue import QUERIES, SQL, Query
 
 

@@ -12,7 +12,7 @@ from msgpulse.functions.hashing import surrogate_id
 from msgpulse.functions.labels import mean_score, sentiment_of_mean
 from msgpulse.schema import CSV_COLUMNS, FIQA, conform
 
-_CSV_TYPES = {"created_at": T.TimestampType(), "sentiment": T.DoubleType(), "likes": T.LongType(), "replies": T.LongType()}
+_CSV_TYPES = {"sentiment": T.DoubleType(), "likes": T.LongType(), "replies": T.LongType()}
 
 JSON_CORPUS_SCHEMA = T.MapType(
     T.StringType(),
@@ -30,7 +30,7 @@ def csv_corpus(spark: SparkSession, root: str, columns: Sequence[str] = tuple(CS
 
     ``columns`` is the header order of these files; read corpora with another
     header separately and unite them by name. Labels may be written as whole or
-    decimal numbers. Quoted line breaks are honoured, so the file is the unit of
+    decimal numbers, and headers repeated by appending writers are skipped. Quoted line breaks are honoured, so the file is the unit of
     parallelism; export corpora as many files.
     """
     schema = T.StructType([T.StructField(c, _CSV_TYPES.get(c, T.StringType())) for c in columns])
@@ -44,7 +44,8 @@ def csv_corpus(spark: SparkSession, root: str, columns: Sequence[str] = tuple(CS
         .option("pathGlobFilter", "*.csv")
         .csv(root)
     )
-    return conform(raw)
+    repeated_header = (F.col("id") == "id") & (F.col("body") == "body")
+    return conform(raw.where(~F.coalesce(repeated_header, F.lit(False))))
 
 
 def parquet_corpus(spark: SparkSession, *paths: str) -> DataFrame:

@@ -48,7 +48,14 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 def append_csv(messages: DataFrame, path: str) -> None:
     """Append in the fixed header order, one header per file."""
-    in_order(messages, CSV_COLUMNS).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    (
+        in_order(messages, CSV_COLUMNS)
+        .write.mode("append")
+        .option("header", True)
+        .option("escape", '"')
+        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        .csv(path)
+    )
 
 
 def stored_messages(spark: SparkSession, path: str) -> DataFrame | None:

@@ -3,7 +3,7 @@
 ``spark.read.format("message_stores").load(root)`` scans every ``*.db`` below a
 root on a mounted path. The ticker is the store's folder name. A store larger
 than ``split_bytes`` is cut into row-id ranges, so one big store is read by many
-tasks; equality filters on ticker skip whole stores, and filters on sentiment
+tasks, and small stores are packed together; equality filters on ticker skip whole stores, and filters on sentiment
 and creation day run inside SQLite.
 """
 
@@ -53,6 +53,8 @@ _ARROW = pa.schema(
     ]
 )
 _BATCH_ROWS = 8192
+# Weight of opening a store when small stores are packed into one task.
+_OPEN_COST = 4 << 20
 _DAY_OPERATORS = {GreaterThan: ">=", GreaterThanOrEqual: ">=", LessThan: "<=", LessThanOrEqual: "<="}
 
 # The layout of a store.
@@ -62,10 +64,10 @@ _CREATE = """CREATE TABLE IF NOT EXISTS messages (
 
 
 @dataclass
-class StoreRange(InputPartition):
-    path: str
-    lo: int | None
-    hi: int | None
+class StoreRanges(InputPartition):
+    """One task's share: whole small stores, or one row-id range of a large store."""
+
+    ranges: list[tuple[str, int | None, int | None]]
 
 
 class MessageStoreReader(DataSourceReader):
@@ -91,39 +93,45 @@ class MessageStoreReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        parts = []
+        parts, pack, packed = [], [], 0
         for path in sorted(glob.glob(os.path.join(self.root, "**", "*.db"), recursive=True)):
             if self.tickers is not None and _ticker_of(path) not in self.tickers:
                 continue
-            if os.path.getsize(path) <= self.split_bytes:
-                parts.append(StoreRange(path, None, None))
+            size = os.path.getsize(path)
+            if size <= self.split_bytes:
+                if pack and packed + size + _OPEN_COST > self.split_bytes:
+                    parts.append(StoreRanges(pack))
+                    pack, packed = [], 0
+                pack, packed = [*pack, (path, None, None)], packed + size + _OPEN_COST
                 continue
             with _open(path) as conn:
                 lowest, highest = conn.execute("SELECT min(rowid), max(rowid) FROM messages").fetchone()
             for lo in range(lowest or 0, (highest or 0) + 1, self.split_rows):
-                parts.append(StoreRange(path, lo, lo + self.split_rows))
-        return parts or [StoreRange("", None, None)]
+                parts.append(StoreRanges([(path, lo, lo + self.split_rows)]))
+        return [*parts, StoreRanges(pack)]
+
+    def read(self, partition: StoreRanges) -> Iterator[pa.RecordBatch]:
+        for path, lo, hi in partition.ranges:
+            yield from self._read_store(path, lo, hi)
 
-    def read(self, partition: StoreRange) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def _read_store(self, path: str, lo: int | None, hi: int | None) -> Iterator[pa.RecordBatch]:
         where, values = [c for c, _ in self.conditions], [v for _, vs in self.conditions for v in vs]
-        if partition.lo is not None:
+        if lo is not None:
             where.append("rowid >= ? AND rowid < ?")
-            values += [partition.lo, partition.hi]
+            values += [lo, hi]
         # Named columns: stores of different age order their columns differently.
         statement = (
             "SELECT CAST(id AS TEXT), CAST(body AS TEXT), CAST(author AS TEXT), CAST(created_at AS TEXT), "
             "CAST(sentiment AS INTEGER), CAST(source AS TEXT), CAST(likes AS INTEGER), CAST(replies AS INTEGER) "
             "FROM messages" + (" WHERE " + " AND ".join(where) if where else "")
         )
-        ticker = _ticker_of(partition.path)
-        with _open(partition.path) as conn:
+        ticker = _ticker_of(path)
+        with _open(path) as conn:
             cursor = conn.execute(statement, values)
             while rows := cursor.fetchmany(_BATCH_ROWS):
                 columns = [*zip(*rows), [ticker] * len(rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values, field.type) for values, field in zip(columns, _ARROW)], schema=_ARROW
+                    [pa.array(column, field.type) for column, field in zip(columns, _ARROW)], schema=_ARROW
                 )
 
 
