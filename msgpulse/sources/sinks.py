@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from msgpulse.operators.dedup import first_per_key
 from msgpulse.operators.filters import valid
 from msgpulse.operators.keyed import absent_from
 from msgpulse.schema import CSV_COLUMNS, MESSAGE_COLUMNS, MESSAGE_SCHEMA, in_order
+from msgpulse.session import setting
 
 PREDICTION_SCHEMA = "id STRING, sentiment INT, model_version STRING"
 STORE_KEYS = ("ticker", "id")
@@ -20,6 +20,8 @@ STORE_KEYS = ("ticker", "id")
 # ticker with a third of all messages is not written by one task.
 _WRITE_BUCKETS = 16
 
+_EMPTY_STAGE_RULE = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+
 
 def write_parquet(
     messages: DataFrame, path: str, mode: str = "errorifexists", compression: str = "zstd", buckets: int = _WRITE_BUCKETS
@@ -58,21 +60,16 @@ def append_csv(messages: DataFrame, path: str) -> None:
     )
 
 
-def stored_messages(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, or None before its first write."""
-    try:
-        return read_messages(spark, path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def create_if_absent(spark: SparkSession, path: str) -> None:
+    """An empty message table, unless there is one already."""
+    empty = spark.createDataFrame([], MESSAGE_SCHEMA)
+    empty.write.mode("ignore").partitionBy("ticker").parquet(path)
 
 
-def new_rows(batch: DataFrame, target: DataFrame | None, keys: Sequence[str] = STORE_KEYS) -> DataFrame:
+def new_rows(batch: DataFrame, target: DataFrame, keys: Sequence[str] = STORE_KEYS) -> DataFrame:
     """What insert-if-absent would add: valid rows, one per key, not yet stored."""
     first = [F.col(c).asc_nulls_last() for c in ("created_at", "body", "author", "sentiment")]
-    unique = first_per_key(batch, keys, first)
-    return unique if target is None else absent_from(unique, target, keys)
+    return absent_from(first_per_key(batch, keys, first), target, keys)
 
 
 def insert_if_absent(batch: DataFrame, path: str, keys: Sequence[str] = STORE_KEYS) -> dict:
@@ -84,8 +81,11 @@ def insert_if_absent(batch: DataFrame, path: str, keys: Sequence[str] = STORE_KE
     """
     spark = batch.sparkSession
     gate, written = Observation(), Observation()
-    fresh = new_rows(valid(batch.select(*MESSAGE_COLUMNS), gate), stored_messages(spark, path), keys)
-    write_parquet(fresh.observe(written, F.count(F.lit(1)).alias("inserted")), path, mode="append")
+    create_if_absent(spark, path)
+    fresh = new_rows(valid(batch.select(*MESSAGE_COLUMNS), gate), read_messages(spark, path), keys)
+    # A stage that turns out empty is otherwise replaced at run time, its counters with it.
+    with setting(spark, "spark.sql.adaptive.optimizer.excludedRules", _EMPTY_STAGE_RULE):
+        write_parquet(fresh.observe(written, F.count(F.lit(1)).alias("inserted")), path, mode="append")
     inserted = written.get["inserted"]
     return {**gate.get, "inserted": inserted, "status": "ok" if inserted else "no_new_rows"}
 
