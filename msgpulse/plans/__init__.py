@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from msgpulse.plans import corpus, feeds, sentiment  # noqa: F401
+from msgpulse.plans import corpus, feeds, sentiment, training  # noqa: F401
 from msgpulse.plans.catalogue import QUERIES, SQL, Query
 
 
