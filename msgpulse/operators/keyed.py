@@ -45,12 +45,15 @@ def absent_from(batch: DataFrame, target: DataFrame, keys: Sequence[str] = ("tic
 
     First the target's key columns are reduced to the keys the batch asks for (the
     small batch is the side Spark can broadcast, and its tickers prune the
-    target's partitions), then the batch drops those. The target is never
-    shuffled as long as the batch fits the broadcast threshold.
+    target's partitions), then the batch drops those. The target is not shuffled as
+    long as the batch's keys fit the broadcast threshold. Keys are text columns.
     """
     asked, stored = batch.alias("asked"), target.select(*keys).alias("stored")
-    # Null-safe, so that messages without a ticker are recognised as well.
-    same = reduce(and_, (F.col(f"asked.{k}").eqNullSafe(F.col(f"stored.{k}")) for k in keys))
+    # Messages without a ticker are recognised as well. Plain equality of these
+    # expressions, unlike <=>, still prunes the target's partitions.
+    same = reduce(
+        and_, (F.coalesce(f"asked.{k}", F.lit("")) == F.coalesce(f"stored.{k}", F.lit("")) for k in keys)
+    )
     taken = stored.join(asked, same, "left_semi").alias("stored")
     return asked.join(taken, same, "left_anti").select("asked.*")
 

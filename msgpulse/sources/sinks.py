@@ -16,25 +16,18 @@ from msgpulse.session import setting
 PREDICTION_SCHEMA = "id STRING, sentiment INT, model_version STRING"
 STORE_KEYS = ("ticker", "id")
 
-# Write tasks per ticker: rows of one ticker spread over this many hash buckets, so a
-# ticker with a third of all messages is not written by one task.
-_WRITE_BUCKETS = 16
-
 _EMPTY_STAGE_RULE = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
 
 
-def write_parquet(
-    messages: DataFrame, path: str, mode: str = "errorifexists", compression: str = "zstd", buckets: int = _WRITE_BUCKETS
-) -> None:
+def write_parquet(messages: DataFrame, path: str, mode: str = "errorifexists", compression: str = "zstd") -> None:
     """Write a message table partitioned by ticker and sorted by time within files.
 
-    Rows are brought together by (ticker, hash bucket of id): few files per ticker,
-    and no single task for a large one.
+    The rebalance brings a ticker's rows together into files of the advisory size:
+    small tickers share tasks, and one that holds a large share of all messages
+    is split over as many tasks as its size asks for.
     """
-    spread = messages.withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     (
-        spread.repartition("ticker", "_bucket")
-        .drop("_bucket")
+        messages.hint("rebalance", F.col("ticker"))
         .sortWithinPartitions("ticker", "created_at")
         .write.mode(mode)
         .option("compression", compression)
@@ -84,7 +77,11 @@ def insert_if_absent(batch: DataFrame, path: str, keys: Sequence[str] = STORE_KE
     create_if_absent(spark, path)
     fresh = new_rows(valid(batch.select(*MESSAGE_COLUMNS), gate), read_messages(spark, path), keys)
     # A stage that turns out empty is otherwise replaced at run time, its counters with it.
-    with setting(spark, "spark.sql.adaptive.optimizer.excludedRules", _EMPTY_STAGE_RULE):
+    # Inside a stream's batch function adaptive execution is off unless asked for.
+    with (
+        setting(spark, "spark.sql.adaptive.enabled", "true"),
+        setting(spark, "spark.sql.adaptive.optimizer.excludedRules", _EMPTY_STAGE_RULE),
+    ):
         write_parquet(fresh.observe(written, F.count(F.lit(1)).alias("inserted")), path, mode="append")
     inserted = written.get["inserted"]
     return {**gate.get, "inserted": inserted, "status": "ok" if inserted else "no_new_rows"}
@@ -103,4 +100,4 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_hourly(hourly: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Hourly ratios per ticker, stored by day so a range of days prunes to its folders."""
-    hourly.withColumn("day", F.to_date("hour")).repartition("day").write.mode(mode).partitionBy("day").parquet(path)
+    hourly.withColumn("day", F.to_date("hour")).hint("rebalance", F.col("day")).write.mode(mode).partitionBy("day").parquet(path)

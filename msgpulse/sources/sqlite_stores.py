@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -170,48 +171,60 @@ def store_corpus(spark: SparkSession, root: str, **options) -> DataFrame:
     return spark.read.format(MessageStores.name()).options(**options).load(root)
 
 
-def export_stores(messages: DataFrame, root: str, buckets: int = 16) -> DataFrame:
+def export_stores(messages: DataFrame, root: str, rows_per_store: int = 1_000_000) -> DataFrame:
     """Write messages as SQLite stores below a mounted root; returns rows per file.
 
-    Rows are spread by (ticker, hash bucket), and each task streams its rows into its
-    own files, ``<root>/tickers/<T>/twits-<bucket>.db``. A file is built under a
-    temporary name and renamed at the end, so a repeated task replaces its own
-    output.
+    Each task streams its rows into files of its own, ``<root>/tickers/<T>/
+    twits-<task>-<n>.db``, starting the next file after ``rows_per_store`` rows; a
+    ticker with a large share of the messages is split over many tasks. A file is
+    built under a temporary name and renamed when complete, so a repeated task
+    replaces its own output.
     """
     base = local_form(root)
 
-    def write(batches):
-        open_stores: dict[tuple[str, int], tuple[sqlite3.Connection, str, str]] = {}
-        counts: dict[tuple[str, int], int] = {}
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        written: dict[str, _StoreWriter] = {}
+        done = []
         for batch in batches:
-            for (ticker, bucket), rows in batch.groupby(["ticker", "_bucket"], sort=False):
-                key = (ticker, int(bucket))
-                if key not in open_stores:
-                    folder = os.path.join(base, "tickers", ticker)
-                    os.makedirs(folder, exist_ok=True)
-                    final = os.path.join(folder, f"twits-{key[1]}.db")
-                    temporary = f"{final}.{uuid.uuid4().hex}.part"
-                    conn = sqlite3.connect(temporary)
-                    conn.execute(_CREATE)
-                    open_stores[key], counts[key] = (conn, temporary, final), 0
-                records = rows[STORE_COLUMNS].astype(object).where(rows[STORE_COLUMNS].notna(), None)
-                open_stores[key][0].executemany(
-                    "INSERT OR IGNORE INTO messages VALUES (?, ?, ?, ?, ?, ?, ?, ?)", records.values.tolist()
-                )
-                counts[key] += len(rows)
-        for conn, temporary, final in open_stores.values():
-            conn.commit()
-            conn.close()
-            os.replace(temporary, final)
-        yield pd.DataFrame(
-            [(t, b, n) for (t, b), n in counts.items()], columns=["ticker", "bucket", "n"]
-        ).astype({"ticker": "object", "bucket": "int32", "n": "int64"})
+            for ticker, rows in batch.groupby("ticker", sort=False):
+                for start in range(0, len(rows), _BATCH_ROWS):
+                    store = written.get(ticker)
+                    if store is None or store.rows >= rows_per_store:
+                        if store is not None:
+                            done.append(store.finish())
+                        number = 0 if store is None else store.number + 1
+                        store = written[ticker] = _StoreWriter(base, ticker, task, number)
+                    store.add(rows[STORE_COLUMNS].iloc[start : start + _BATCH_ROWS])
+        done += [store.finish() for store in written.values()]
+        yield pd.DataFrame(done, columns=["ticker", "store", "n"]).astype({"n": "int64"})
 
     text_time = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     spread = (
-        messages.withColumn("created_at", text_time)
-        .withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-        .repartition("ticker", "_bucket")
-        .select(*STORE_COLUMNS, "ticker", "_bucket")
+        messages.withColumn("created_at", text_time).select(*STORE_COLUMNS, "ticker").hint("rebalance", F.col("ticker"))
     )
-    return spread.mapInPandas(write, "ticker string, bucket int, n bigint")
+    return spread.mapInPandas(write, "ticker string, store string, n bigint")
+
+
+class _StoreWriter:
+    """One store file under construction."""
+
+    def __init__(self, base: str, ticker: str, task: int, number: int):
+        self.ticker, self.number, self.rows = ticker, number, 0
+        folder = os.path.join(base, "tickers", ticker)
+        os.makedirs(folder, exist_ok=True)
+        self.final = os.path.join(folder, f"twits-{task}-{number}.db")
+        self.temporary = f"{self.final}.{uuid.uuid4().hex}.part"
+        self.conn = sqlite3.connect(self.temporary)
+        self.conn.execute(_CREATE)
+
+    def add(self, rows: pd.DataFrame) -> None:
+        records = rows.astype(object).where(rows.notna(), None)
+        self.conn.executemany("INSERT OR IGNORE INTO messages VALUES (?, ?, ?, ?, ?, ?, ?, ?)", records.values.tolist())
+        self.rows += len(rows)
+
+    def finish(self) -> tuple[str, str, int]:
+        self.conn.commit()
+        self.conn.close()
+        os.replace(self.temporary, self.final)
+        return self.ticker, os.path.basename(self.final), self.rows

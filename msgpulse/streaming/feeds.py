@@ -44,7 +44,14 @@ def ingest(
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        result = insert_if_absent(batch, path, keys)
+        # Stored once for its several uses; counted so that its exact size is known
+        # when Spark decides whether the keys can be broadcast.
+        batch = batch.persist()
+        try:
+            batch.count()
+            result = insert_if_absent(batch, path, keys)
+        finally:
+            batch.unpersist()
         if on_result is not None:
             on_result(batch_id, result)
 
