@@ -64,7 +64,7 @@ def json_corpus(spark: SparkSession, path: str, whole_file: bool = True) -> Data
     ``whole_file`` reads one object per file; otherwise every line is an object
     and large files are split.
     """
-    text = spark.read.option("wholetext", whole_file).text(path)
+    text = spark.read.text(path, wholetext=whole_file)
     return text.select(F.explode(F.from_json("value", JSON_CORPUS_SCHEMA)).alias("key", "entry")).select(
         "key", F.col("entry.sentence").alias("sentence"), F.col("entry.info.sentiment_score").alias("scores")
     )

@@ -180,7 +180,7 @@ def export_stores(messages: DataFrame, root: str, rows_per_store: int = 1_000_00
     built under a temporary name and renamed when complete, so a repeated task
     replaces its own output.
     """
-    base = local_form(root)
+    base, step = local_form(root), min(_BATCH_ROWS, rows_per_store)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
@@ -188,14 +188,14 @@ def export_stores(messages: DataFrame, root: str, rows_per_store: int = 1_000_00
         done = []
         for batch in batches:
             for ticker, rows in batch.groupby("ticker", sort=False):
-                for start in range(0, len(rows), _BATCH_ROWS):
+                for start in range(0, len(rows), step):
                     store = written.get(ticker)
                     if store is None or store.rows >= rows_per_store:
                         if store is not None:
                             done.append(store.finish())
                         number = 0 if store is None else store.number + 1
                         store = written[ticker] = _StoreWriter(base, ticker, task, number)
-                    store.add(rows[STORE_COLUMNS].iloc[start : start + _BATCH_ROWS])
+                    store.add(rows[STORE_COLUMNS].iloc[start : start + step])
         done += [store.finish() for store in written.values()]
         yield pd.DataFrame(done, columns=["ticker", "store", "n"]).astype({"n": "int64"})
 
