@@ -17,7 +17,7 @@ UNICODE_SPACE = (
 )
 URL_PATTERN = rf"http[^{UNICODE_SPACE}]+"
 CASHTAG_PATTERN = r"\$([A-Za-z][A-Za-z.]*)"
-TOKEN_PATTERN = r"[\p{L}\p{N}$]+"
+TOKEN_BREAK = r"[^\p{L}\p{N}$]+"
 MAX_TOKENS = 160
 # ---------------------------------------------------------------------------------
 
@@ -46,5 +46,16 @@ def contains_any(body: Column, phrases: Sequence[str], ignore_case: bool = False
 
 
 def tokens(body: Column, limit: int = MAX_TOKENS) -> Column:
-    """Lower-cased word tokens, truncated to the model's input length."""
-    return F.slice(F.regexp_extract_all(F.lower(body), F.lit(TOKEN_PATTERN), F.lit(0)), 1, limit)
+    """Lower-cased word tokens, truncated to the model's input length.
+
+    Splitting ends once the wanted tokens are found; the two extra places are an
+    empty piece before a leading break and the unsplit rest.
+    """
+    pieces = F.split(F.lower(body), TOKEN_BREAK, limit + 2)
+    return F.slice(F.filter(pieces, lambda t: t != ""), 1, limit)
+
+
+def tokens_sql(body: str, limit: int = MAX_TOKENS) -> str:
+    """``tokens`` as SQL text, for a transformer stage."""
+    pieces = f"split(lower({body}), r'{TOKEN_BREAK}', {limit + 2})"
+    return f"slice(filter({pieces}, t -> t <> ''), 1, {limit})"

@@ -13,13 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgpulse.functions.labels import log_loss_of, sentiment_of_pair, softmax_pair
-from msgpulse.functions.text import MAX_TOKENS, TOKEN_PATTERN
+from msgpulse.functions.text import tokens_sql
 from msgpulse.operators.filters import hams, unlabelled
+from msgpulse.session import scratch_path
 
-_TOKENS_SQL = (
-    f"SELECT *, slice(regexp_extract_all(lower(coalesce(body, '')), r'{TOKEN_PATTERN}', 0), 1, {MAX_TOKENS}) AS _tokens "
-    "FROM __THIS__"
-)
+_TOKENS_SQL = f"""SELECT *, {tokens_sql("coalesce(body, '')")} AS _tokens FROM __THIS__"""
 _WORK_COLUMNS = ["_tokens", "_counts", "_weights", "rawPrediction", "probability", "prediction"]
 
 
@@ -40,12 +38,20 @@ def classifier(label: str, features: int = 1 << 18, max_iter: int = 30, reg: flo
 
 
 def fitted(train: DataFrame, label: str, **settings) -> PipelineModel:
-    """Fit on the narrow (body, label) projection, kept in memory and on disk for the iterations."""
+    """Fit on the narrow (body, label) projection; returns the stored form of the model.
+
+    A model fresh from training refers to its training summary and through it to the
+    session, which cannot go to the tasks once the session has observed metrics. The
+    stored form is parameters only.
+    """
     data = train.select("body", F.col(label).cast("double").alias(label)).persist()
     try:
-        return classifier(label, **settings).fit(data)
+        model = classifier(label, **settings).fit(data)
     finally:
         data.unpersist()
+    path = scratch_path(train.sparkSession, "model")
+    save(model, path)
+    return load(path)
 
 
 def save(model: PipelineModel, path: str) -> None:

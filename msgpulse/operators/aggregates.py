@@ -55,8 +55,11 @@ def class_histogram(messages: DataFrame, column: str = "sentiment") -> DataFrame
 
 
 def store_counts(messages: DataFrame) -> DataFrame:
-    """Rows per ticker store plus the grand total (ticker NULL) in one pass."""
-    return messages.rollup("ticker").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per ticker store plus the grand total, which is marked ``is_total``."""
+    per_store = messages.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+    return per_store.rollup("ticker").agg(
+        F.sum("n").alias("n"), (F.grouping("ticker") == 1).alias("is_total")
+    )
 
 
 def fetch_tally(fetch_log: DataFrame) -> DataFrame:

@@ -25,3 +25,15 @@ def first_message_per_id(messages: DataFrame, priority: Column | None = None) ->
         F.col(c).asc_nulls_last() for c in ("created_at", "body", "author", "sentiment")
     ]
     return first_per_key(messages, ["id"], order)
+
+
+def first_message_per_text(messages: DataFrame) -> DataFrame:
+    """One message per distinct body, the oldest; ids must be unique.
+
+    The survivors are found on (digest, time, id) alone, and whole messages are then
+    met by their unique id: however often one text was copied, its copies never
+    come together in one task with their bodies.
+    """
+    narrow = messages.select(F.sha2("body", 256).alias("_text"), "created_at", "id")
+    survivors = first_per_key(narrow, ["_text"], [F.col("created_at"), F.col("id")])
+    return messages.join(survivors.select("id"), "id", "left_semi")

@@ -50,11 +50,13 @@ def absent_from(batch: DataFrame, target: DataFrame, keys: Sequence[str] = ("tic
     """
     asked, stored = batch.alias("asked"), target.select(*keys).alias("stored")
     # Messages without a ticker are recognised as well. Plain equality of these
-    # expressions, unlike <=>, still prunes the target's partitions.
+    # expressions, unlike <=>, still prunes the target's partitions; so that Spark
+    # tries, the pruning side has to have a filter, which here is true of every row.
     same = reduce(
         and_, (F.coalesce(f"asked.{k}", F.lit("")) == F.coalesce(f"stored.{k}", F.lit("")) for k in keys)
     )
-    taken = stored.join(asked, same, "left_semi").alias("stored")
+    every_key = asked.where(F.coalesce(f"asked.{keys[0]}", F.lit("")) >= "")
+    taken = stored.join(every_key, same, "left_semi").alias("stored")
     return asked.join(taken, same, "left_anti").select("asked.*")
 
 

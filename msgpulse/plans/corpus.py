@@ -263,17 +263,33 @@ def ticker_from_path(spark, sf):
 
 
 @query(
-    "w1_first_per_id",
+    "w1_first_per_text",
     f"""WITH {DOC_SQL} SELECT id, md5(body) AS body_md5, created_at FROM (
         SELECT *, row_number() OVER (PARTITION BY body ORDER BY created_at, id) AS r FROM doc) WHERE r = 1""",
 )
 def first_per_text(spark, sf):
-    """Copies of a text reduced to the earliest; keyed by digest, so whole texts are not shuffled as keys."""
-    documents = document_messages(spark, sf).select("id", F.sha2("body", 256).alias("key"), "body", "created_at")
-    first = dedup.first_per_key(documents, ["key"], [F.col("created_at"), F.col("id")])
+    """Copies of a text reduced to the earliest."""
+    first = dedup.first_message_per_text(document_messages(spark, sf))
     return first.select("id", F.md5("body").alias("body_md5"), "created_at")
 
 
+@query(
+    "w1_first_per_id",
+    f"""WITH {EV_SQL}, twice AS (SELECT * FROM ev UNION ALL SELECT * REPLACE ('again' AS body,
+            created_at + (CASE WHEN likes % 2 = 0 THEN 1 ELSE -1 END) * INTERVAL 1 HOUR AS created_at) FROM ev)
+        SELECT {EV_COLUMNS_SQL} FROM (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at, body) AS r FROM twice) WHERE r = 1""",
+)
+def first_per_id(spark, sf):
+    """Every message twice, the copy now older, now younger than the original."""
+    messages = event_messages(spark, sf)
+    hours = F.when(F.col("likes") % 2 == 0, 1).otherwise(-1)
+    again = messages.withColumns(
+        {"body": F.lit("again"), "created_at": F.timestamp_micros(F.unix_micros("created_at") + hours * 3_600_000_000)}
+    )
+    return dedup.first_message_per_id(messages.unionByName(again))
+
+
 @query(
     "w1_cleaned_corpus",
     f"""WITH {DOC_SQL}, copies AS (SELECT * FROM doc UNION ALL

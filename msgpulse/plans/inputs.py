@@ -9,13 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpulse.schema import MESSAGE_COLUMNS, conform
+from msgpulse.schema import MESSAGE_COLUMNS
 
 FIRST_MINUTE = 1704067200  # 2024-01-01 00:00:00 UTC
 
 
+# Explicit schemas, so that opening a table reads no file.
+TABLES = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+    ),
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def letter(number: Column) -> Column:
@@ -24,27 +44,17 @@ def letter(number: Column) -> Column:
 
 def messages_of_events(events: DataFrame) -> DataFrame:
     """Events (batch or stream) as messages: user groups are tickers, event types labels."""
-    ticker = letter(F.col("user_id"))
-    sentiment = (
-        F.when(F.col("event_type").isin("purchase", "signup"), 1)
-        .when(F.col("event_type") == "error", 0)
-        .when(F.col("event_type") == "click", -69)
-    )
-    source = (
-        F.when(F.col("user_id") % 3 == 0, "StockTwits").when(F.col("user_id") % 3 == 1, "Twitter").otherwise("Reddit")
-    )
-    return conform(
-        events.select(
-            F.col("event_id").alias("id"),
-            F.concat(F.lit("$"), ticker, F.lit(" "), F.col("event_type")).alias("body"),
-            F.col("user_id").alias("author"),
-            F.col("ts").alias("created_at"),
-            sentiment.alias("sentiment"),
-            source.alias("source"),
-            F.get_json_object("props", "$.k").alias("likes"),
-            (F.col("user_id") % 4).alias("replies"),
-            ticker.alias("ticker"),
-        )
+    return events.selectExpr(
+        "CAST(event_id AS STRING) AS id",
+        "concat('$', chr(CAST(65 + user_id % 20 AS INT)), ' ', event_type) AS body",
+        "CAST(user_id AS STRING) AS author",
+        "CAST(ts AS TIMESTAMP) AS created_at",
+        """CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type = 'error' THEN 0
+                WHEN event_type = 'click' THEN -69 END AS sentiment""",
+        "CASE user_id % 3 WHEN 0 THEN 'StockTwits' WHEN 1 THEN 'Twitter' ELSE 'Reddit' END AS source",
+        "coalesce(CAST(get_json_object(props, '$.k') AS BIGINT), 0) AS likes",
+        "user_id % 4 AS replies",
+        "chr(CAST(65 + user_id % 20 AS INT)) AS ticker",
     )
 
 
@@ -108,19 +118,17 @@ def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages: quality is the label, toxic the spam flag, lang the ticker."""
     labels = table(spark, sf_dir, "labels")
     documents = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    return conform(
-        documents.select(
-            F.col("doc_id").alias("id"),
-            F.col("text").alias("body"),
-            F.col("source").alias("author"),
-            F.timestamp_seconds(F.col("doc_id") * 60 + FIRST_MINUTE).alias("created_at"),
-            F.col("quality").alias("sentiment"),
-            F.when(F.col("source") == "src0", "FIQA").otherwise("StockTwits").alias("source"),
-            F.col("n_chars").alias("likes"),
-            F.upper("lang").alias("ticker"),
-            F.col("toxic").alias("is_spam"),
-        ),
-        extra=["is_spam"],
+    return documents.selectExpr(
+        "CAST(doc_id AS STRING) AS id",
+        "text AS body",
+        "source AS author",
+        f"timestamp_seconds(doc_id * 60 + {FIRST_MINUTE}) AS created_at",
+        "quality AS sentiment",
+        "CASE WHEN source = 'src0' THEN 'FIQA' ELSE 'StockTwits' END AS source",
+        "n_chars AS likes",
+        "CAST(0 AS BIGINT) AS replies",
+        "upper(lang) AS ticker",
+        "toxic AS is_spam",
     )
 
 

@@ -54,7 +54,7 @@ def histogram(spark, sf):
     return aggregates.class_histogram(event_messages(spark, sf))
 
 
-@query("a4_store_counts", f"WITH {EV_SQL} SELECT ticker, count(*) AS n FROM ev GROUP BY ROLLUP (ticker)")
+@query("a4_store_counts", f"WITH {EV_SQL} SELECT ticker, count(*) AS n, grouping(ticker) = 1 AS is_total FROM ev GROUP BY ROLLUP (ticker)")
 def store_counts(spark, sf):
     return aggregates.store_counts(event_messages(spark, sf))
 

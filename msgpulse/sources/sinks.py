@@ -28,7 +28,7 @@ def write_parquet(messages: DataFrame, path: str, mode: str = "errorifexists", c
     """
     (
         messages.hint("rebalance", F.col("ticker"))
-        .sortWithinPartitions("ticker", "created_at")
+        .sortWithinPartitions("ticker", "created_at", "id")
         .write.mode(mode)
         .option("compression", compression)
         .partitionBy("ticker")
@@ -59,13 +59,23 @@ def create_if_absent(spark: SparkSession, path: str) -> None:
     empty.write.mode("ignore").partitionBy("ticker").parquet(path)
 
 
-def new_rows(batch: DataFrame, target: DataFrame, keys: Sequence[str] = STORE_KEYS) -> DataFrame:
-    """What insert-if-absent would add: valid rows, one per key, not yet stored."""
+def new_rows(
+    batch: DataFrame, target: DataFrame, keys: Sequence[str] = STORE_KEYS, id_range: tuple[str, str] | None = None
+) -> DataFrame:
+    """What insert-if-absent would add: rows not yet stored, one per key.
+
+    ``id_range`` is the smallest and largest id of the batch where the caller knows
+    them; stored files outside it are then skipped by their statistics.
+    """
+    if id_range is not None:
+        target = target.where(F.col("id").between(*id_range))
     first = [F.col(c).asc_nulls_last() for c in ("created_at", "body", "author", "sentiment")]
-    return absent_from(first_per_key(batch, keys, first), target, keys)
+    return first_per_key(absent_from(batch, target, keys), keys, first)
 
 
-def insert_if_absent(batch: DataFrame, path: str, keys: Sequence[str] = STORE_KEYS) -> dict:
+def insert_if_absent(
+    batch: DataFrame, path: str, keys: Sequence[str] = STORE_KEYS, id_range: tuple[str, str] | None = None
+) -> dict:
     """Add the batch's new messages to a stored table; repeating a call adds nothing.
 
     Returns the counts taken while writing: rows seen, rejected by the NOT NULL
@@ -75,7 +85,7 @@ def insert_if_absent(batch: DataFrame, path: str, keys: Sequence[str] = STORE_KE
     spark = batch.sparkSession
     gate, written = Observation(), Observation()
     create_if_absent(spark, path)
-    fresh = new_rows(valid(batch.select(*MESSAGE_COLUMNS), gate), read_messages(spark, path), keys)
+    fresh = new_rows(valid(batch.select(*MESSAGE_COLUMNS), gate), read_messages(spark, path), keys, id_range)
     # A stage that turns out empty is otherwise replaced at run time, its counters with it.
     # Inside a stream's batch function adaptive execution is off unless asked for.
     with (

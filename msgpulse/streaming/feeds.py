@@ -44,12 +44,12 @@ def ingest(
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # Stored once for its several uses; counted so that its exact size is known
-        # when Spark decides whether the keys can be broadcast.
+        # Stored once for its several uses. The small query gives Spark the batch's exact
+        # size for its join choice, and the ids' range to skip stored files by.
         batch = batch.persist()
         try:
-            batch.count()
-            result = insert_if_absent(batch, path, keys)
+            lo, hi = batch.agg(F.min("id"), F.max("id")).first()
+            result = insert_if_absent(batch, path, keys, None if lo is None else (lo, hi))
         finally:
             batch.unpersist()
         if on_result is not None:

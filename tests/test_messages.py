@@ -62,8 +62,8 @@ def test_histogram_order_and_missing(golden):
 
 
 def test_store_counts_have_a_total(golden):
-    rows = {r.ticker: r.n for r in aggregates.store_counts(golden).collect()}
-    assert rows == {"AAPL": 5, "MSFT": 1, None: 6}
+    rows = {(r.ticker, r.is_total): r.n for r in aggregates.store_counts(golden).collect()}
+    assert rows == {("AAPL", False): 5, ("MSFT", False): 1, (None, True): 6}
 
 
 def test_single_row_tickers_have_no_markers(golden):
@@ -288,3 +288,30 @@ def test_correlation_with_lag(spark):
     )
     got = series.price_correlation(daily, prices, lag_days=1).first()
     assert got.n_days == 3 and abs(got.correlation - 1) < 1e-9
+
+
+def test_hot_groups_give_exact_results(spark):
+    """A third of all rows in one ticker, one text and one id, spread over many tasks."""
+    rows = spark.range(0, 6000, 1, 300).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("T"), F.col("id") % 50)).alias("ticker"),
+        F.when(F.col("id") % 3 == 0, "copied").otherwise(F.concat(F.lit("b"), F.col("id") % 900)).alias("body"),
+        (F.col("id") * 7919 % 1009).alias("likes"),
+        F.timestamp_seconds(F.col("id") * 31 % 5003).alias("created_at"),
+        F.lit("u").alias("author"),
+        F.lit(1).alias("sentiment"),
+    )
+    local = rows.toPandas()
+    best = ranking.top_per_group(rows, ["ticker"], [F.desc("likes"), F.asc("id")], 100).toPandas()
+    wanted = local.sort_values(["likes", "id"], ascending=[False, True]).groupby("ticker").head(100)
+    assert sorted(best["id"]) == sorted(wanted["id"])
+    assert sorted(best[best.ticker == "HOT"]["rank"]) == list(range(1, 101))
+
+    kept = dedup.first_message_per_text(rows).toPandas()
+    wanted = local.sort_values(["created_at", "id"]).groupby("body").head(1)
+    assert sorted(kept["id"]) == sorted(wanted["id"])
+
+    hot_id = rows.withColumn("id", F.when(F.col("ticker") == "HOT", "same").otherwise(F.col("id")))
+    kept = {r.id: r.likes for r in dedup.first_message_per_id(hot_id).collect()}
+    first = local[local.ticker == "HOT"].sort_values(["created_at"]).iloc[0]
+    assert len(kept) == 4001 and kept["same"] == first["likes"]

@@ -50,10 +50,26 @@ def test_markers_are_hash_aggregates(stored):
     assert text.count("HashAggregate") == 2 and "SortAggregate" not in text and text.count("FileScan") == 1
 
 
-def test_dedup_and_top_rows_are_cut_before_the_shuffle(stored):
-    for df in (dedup.first_message_per_id(stored), ranking.top_per_group(stored, ["ticker"], [F.desc("likes"), F.asc("id")])):
-        text = plan(df)
-        assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1
+def test_dedup_is_cut_before_its_only_shuffle(stored):
+    text = plan(dedup.first_message_per_id(stored))
+    assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1
+
+
+def test_top_rows_are_cut_before_both_rounds_of_shuffle(stored):
+    text = plan(ranking.top_per_group(stored, ["ticker"], [F.desc("likes"), F.asc("id")]))
+    assert text.count("WindowGroupLimit") == 4 and len(re.findall(r"Exchange hash", text)) == 2
+    assert re.search(r"Exchange hashpartitioning\(ticker#\d+, _share#\d+", text)
+
+
+def test_text_dedup_keeps_bodies_out_of_the_grouping(stored):
+    text = plan(dedup.first_message_per_text(stored))
+    grouped = re.search(r"Exchange hashpartitioning\(_text.*?FileScan.*?ReadSchema: (\S+)", text, re.S)
+    assert "WindowGroupLimit" in text and grouped and "author" not in grouped.group(1)
+
+
+def test_id_range_reaches_the_scan(stored):
+    text = plan(sinks.new_rows(stored.limit(3), stored, id_range=("100", "2")))
+    assert "GreaterThanOrEqual(id,100), LessThanOrEqual(id,2)" in text
 
 
 def test_first_rows_do_not_sort_everything(stored):

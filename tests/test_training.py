@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from msgpulse.functions import labels
@@ -121,6 +122,15 @@ def test_classifier_learns_and_survives_saving(spark, texts, model, tmp_path):
     assert clf.classified(texts, model).columns == texts.columns
 
 
+def test_scoring_works_after_metrics_were_observed(spark, texts):
+    seen = Observation()
+    texts.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 204
+    fresh = clf.fitted(texts.where("sentiment IS NOT NULL"), "sentiment", features=1 << 8, max_iter=2)
+    assert clf.classified(texts, fresh, "guess").count() == 204
+    assert len(clf.classified(texts, fresh, "guess").collect()) == 204
+
+
 def test_probabilities_follow_the_band(texts, model):
     rows = clf.probabilities(texts, model).withColumn("s", labels.sentiment_of_pair(F.col("p0"), F.col("p1"))).collect()
     for r in rows:
