@@ -21,7 +21,7 @@ _TOKENS_SQL = f"""SELECT *, {tokens_sql("coalesce(body, '')")} AS _tokens FROM _
 _WORK_COLUMNS = ["_tokens", "_counts", "_weights", "rawPrediction", "probability", "prediction"]
 
 
-def classifier(label: str, features: int = 1 << 18, max_iter: int = 30, reg: float = 0.01) -> Pipeline:
+def classifier(label: str, features: int = 1 << 16, max_iter: int = 20, reg: float = 0.01) -> Pipeline:
     """An unfitted text classifier for a 0/1 label column over ``body``.
 
     The tokenizer is a stage, so a saved model carries it. All statistics Spark ML

@@ -172,6 +172,17 @@ def stripped_urls(spark, sf):
     )
 
 
+@query(
+    "x2_built_in_for_callback",
+    f"""WITH {DOC_SQL} SELECT id, md5(regexp_replace(body || ' https://x.example/' || id || ' end', 'http[^{UNICODE_SPACE}]+', '', 'g'))
+        AS body_md5 FROM doc""",
+)
+def built_in_for_callback(spark, sf):
+    """The per-value text function of the cleaning step, as a built-in expression."""
+    linked = F.concat("body", F.lit(" https://x.example/"), "id", F.lit(" end"))
+    return document_messages(spark, sf).select("id", F.md5(strip_urls(linked)).alias("body_md5"))
+
+
 @query("p11_legacy_codes", "SELECT doc_id, CASE WHEN quality - 1 = -1 THEN 0 ELSE quality - 1 END AS sentiment FROM labels")
 def legacy_codes(spark, sf):
     return table(spark, sf, "labels").select("doc_id", remap_legacy(F.col("quality") - 1).alias("sentiment"))

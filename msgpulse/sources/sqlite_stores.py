@@ -183,26 +183,25 @@ def export_stores(messages: DataFrame, root: str, rows_per_store: int = 1_000_00
     base, step = local_form(root), min(_BATCH_ROWS, rows_per_store)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get().partitionId()
-        written: dict[str, _StoreWriter] = {}
-        done = []
+        task, store, done = TaskContext.get().partitionId(), None, []
         for batch in batches:
             for ticker, rows in batch.groupby("ticker", sort=False):
                 for start in range(0, len(rows), step):
-                    store = written.get(ticker)
-                    if store is None or store.rows >= rows_per_store:
+                    if store is None or store.ticker != ticker or store.rows >= rows_per_store:
+                        number = 0
                         if store is not None:
                             done.append(store.finish())
-                        number = 0 if store is None else store.number + 1
-                        store = written[ticker] = _StoreWriter(base, ticker, task, number)
+                            number = store.number + 1 if store.ticker == ticker else 0
+                        store = _StoreWriter(base, ticker, task, number)
                     store.add(rows[STORE_COLUMNS].iloc[start : start + step])
-        done += [store.finish() for store in written.values()]
+        if store is not None:
+            done.append(store.finish())
         yield pd.DataFrame(done, columns=["ticker", "store", "n"]).astype({"n": "int64"})
 
     text_time = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    spread = (
-        messages.withColumn("created_at", text_time).select(*STORE_COLUMNS, "ticker").hint("rebalance", F.col("ticker"))
-    )
+    columns = messages.withColumn("created_at", text_time).select(*STORE_COLUMNS, "ticker")
+    # Sorted, so that a task has one store open at a time.
+    spread = columns.hint("rebalance", F.col("ticker")).sortWithinPartitions("ticker")
     return spread.mapInPandas(write, "ticker string, store string, n bigint")
 
 

@@ -20,6 +20,17 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return conn
 
 
+SQL_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
+
+
 def _plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(value + 0.0)
@@ -36,11 +47,13 @@ def rows_of(columns: list[str], rows) -> Counter:
 def differences(spark, conn, query, sql: str, sf_dir: str) -> str:
     """Empty when equal, otherwise what differs."""
     mine = query(spark, sf_dir)
-    found = rows_of(mine.columns, mine.collect())
     result = conn.execute(sql)
     names = [d[0] for d in result.description]
-    if sorted(names) != sorted(mine.columns):
-        return f"columns {sorted(mine.columns)} against {sorted(names)}"
+    types = {(d[0], str(d[1])) for d in result.description}
+    own_types = {(name, SQL_TYPES.get(kind, kind)) for name, kind in mine.dtypes}
+    if types != own_types:
+        return f"columns {sorted(own_types - types)} against {sorted(types - own_types)}"
+    found = rows_of(mine.columns, mine.collect())
     wanted = rows_of(names, result.fetchall())
     if found == wanted:
         return ""
