@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgpulse.functions.hashing import order_hash, prefix_of, unit_hash
+from msgpulse.functions.hashing import order_hash, unit_hash
 from msgpulse.schema import BEARISH, BULLISH
 
 # Four hex digits: at most 65,536 histogram cells per class.
@@ -34,7 +34,8 @@ def balance_marked(
     classes = rows.where(F.col(label).isin(BULLISH, BEARISH)).select(
         F.col(label).alias("_label"), F.col("id").alias("_id"), order_hash(salt, F.col("id")).alias("_hash")
     )
-    cell = prefix_of(F.col("_hash"), _CELL_DIGITS)
+    # Hex digits of equal number sort as text like the numbers they stand for.
+    cell = F.substring("_hash", 1, _CELL_DIGITS)
 
     histogram = classes.groupBy("_label", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     per_class = Window.partitionBy("_label")
@@ -60,11 +61,12 @@ def balance_marked(
         .where(F.col("_rank") == F.col("_left"))
         .select("_label", F.col("_hash").alias("_last_hash"), F.col("_id").alias("_last_id"))
     )
-    own = order_hash(salt, F.col("id"))
-    upto = (own < F.col("_last_hash")) | ((own == F.col("_last_hash")) & (F.col("id") <= F.col("_last_id")))
+    # One comparison, so that a row is hashed once; rows of no class meet NULLs, which
+    # sort before everything, and are not chosen.
+    own = F.struct(order_hash(salt, F.col("id")).alias("_last_hash"), F.col("id").alias("_last_id"))
     return (
         rows.join(F.broadcast(thresholds), F.col(label) == F.col("_label"), "left")
-        .withColumn(mark, F.coalesce(upto, F.lit(False)))
+        .withColumn(mark, own <= F.struct("_last_hash", "_last_id"))
         .drop("_label", "_last_hash", "_last_id")
     )
 
