@@ -318,7 +318,7 @@ def resumed_forward_fetch(spark, sf):
     """Batch resume: markers are read back from the store and only newer rows are fetched and added."""
     path = scratch_path(spark, "messages")
     messages = event_messages(spark, sf)
-    sinks.insert_if_absent(messages.where("CAST(id AS BIGINT) % 2 = 0 OR created_at < '2024-01-12'"), path)
+    sinks.insert_if_absent(messages.where("sentiment = 1 OR created_at < '2024-01-12'"), path)
     stored = sinks.read_messages(spark, path)
     known = materialise(ticker_markers(stored.where("created_at < '2024-01-12'")), "markers")
     sinks.insert_if_absent(beyond_cursor(messages, known, FORWARD), path)
