@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from msgpulse.llm.scratch import stored
+from msgpulse.llm.shingles import shingle_set
 from msgpulse.llm.transducers import within
 
 # The closed word classes and a short list of insults and threats.
@@ -149,11 +150,45 @@ def _fit(rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return weights
 
 
+def explaining(hits: list[list[int]], entries: int, fewest: int = 2, share: float = 0.02) -> list[int]:
+    """Entries that explain the toxic texts: taken greedily while one covers ``fewest`` texts that
+    no entry before it covers, besides all that are in a ``share`` of the texts."""
+    where: list[set[int]] = [set() for _ in range(entries)]
+    for text, found in enumerate(hits):
+        for entry in found:
+            where[entry].add(text)
+    common = max(fewest, math.ceil(share * len(hits)))
+    taken = [k for k in range(entries) if len(where[k]) >= common]
+    open_texts = set(range(len(hits))).difference(*[where[k] for k in taken]) if taken else set(range(len(hits)))
+    while True:
+        best = max(range(entries), key=lambda k: (len(where[k] & open_texts), -k), default=None)
+        if best is None or len(where[best] & open_texts) < fewest:
+            return taken
+        taken.append(best)
+        open_texts -= where[best]
+
+
 def learned(documents: DataFrame, labels: DataFrame, limit: int, entries: int, least: float) -> tuple[dict, np.ndarray]:
     """The insult arcs with their weights, and the logistic weights of the features."""
     sample = F.broadcast(training_rows(labels, limit))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), 5) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array([int(s[k]) >> 1 if len(s) else None for s in sets], pa.int64()) for k in (0, -1)]],
+                names=["text", "toxic", "least", "most"],
+            )
+
+    # Near copies share their least or greatest shingle; one of them stays, or else every
+    # word of a toxic text with many copies would look like an insult.
     rows = stored(
-        documents.join(sample, F.col("doc_id") == F.col("label_id")).select("text", F.col("toxic").cast("int").alias("toxic")),
+        documents.join(sample, F.col("doc_id") == F.col("label_id"))
+        .select("text", F.col("toxic").cast("int").alias("toxic"))
+        .mapInArrow(ends, "text STRING, toxic INT, least BIGINT, most BIGINT")
+        .dropDuplicates(["toxic", "least"])
+        .dropDuplicates(["toxic", "most"])
+        .select("text", "toxic"),
         "toxic-sample",
     )
 
@@ -182,7 +217,20 @@ def learned(documents: DataFrame, labels: DataFrame, limit: int, entries: int, l
         .orderBy(F.desc(F.col("weight") * F.col("yes")), "part")
         .limit(entries)
     )
-    lexicon = {row["part"]: float(row["weight"]) for row in arcs.collect()}
+    weights = {row["part"]: float(row["weight"]) for row in arcs.collect()}
+    order = {part: k for k, part in enumerate(weights)}
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                words = {raw.strip(_STRIP).lower() for raw in (text or "").split()}
+                found.append(sorted({order[part] for word in words for part in _parts(word) if part in order}))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["hits"])
+
+    covered = [row["hits"] for row in rows.where("toxic = 1").mapInArrow(hits, "hits ARRAY<INT>").collect()]
+    parts_in_order = list(weights)
+    lexicon = {parts_in_order[k]: weights[parts_in_order[k]] for k in explaining(covered, len(weights))}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes(lexicon)
