@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpulse.llm import jaccard, mixing, packing, quality, toxicity
+from msgpulse.llm import jaccard, mixing, packing, pii, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +108,20 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the training part of the labels."""
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered()
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    spans = pii.found_in(table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    base = F.filter("spans", lambda span: span["base"])
+    written = lambda found: F.array_join(
+        F.transform(found, lambda span: F.concat_ws(":", span["kind"], span["start"], span["end"])), ","
+    )
+    count = lambda kind: F.size(F.filter(base, lambda span: span["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return spans.select(
+        "doc_id",
+        *[count(kind) for kind in pii.KINDS],
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written("spans").alias("spans"),
+    )
