@@ -123,10 +123,12 @@ class Field:
 
     def __init__(self, emit: np.ndarray, move: np.ndarray):
         self.emit, self.move = emit, move  # (3 * _FEATURES, tags), (tags, tags)
-        outside = emit[[_FEATURES]] + emit[0] + emit[2 * _FEATURES]
-        gain = move.max() - min(move[0, 0], move.min(axis=None))
-        rest = np.delete((outside - outside[:, [0]])[0], 0).max()
-        self.plain_is_outside = rest + 2 * max(0.0, gain) < 0
+        # An excursion of n words from "outside" gains at most a way in, a way out, n - 1 moves and n emissions.
+        before, own, behind = emit[0], emit[_FEATURES], emit[2 * _FEATURES]
+        words = max((seen - seen[0])[1:].max() for seen in (own, own + before, own + behind, own + before + behind))
+        gains = move - move[0, 0]
+        moves = sum(max(0.0, part.max()) for part in (gains[0, 1:], gains[1:, 0], gains[1:, 1:]))
+        self.plain_is_outside = bool(words + moves < 0)
 
     def scores(self, shapes: list[tuple[int, ...]]) -> np.ndarray:
         """Emission scores (words, tags) of one line."""
