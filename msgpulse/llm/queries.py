@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpulse.llm import jaccard, mixing, packing, pii, quality, toxicity
+from msgpulse.llm import html, jaccard, mixing, packing, pii, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,3 +125,30 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
         written("spans").alias("spans"),
     )
+
+
+@registered(
+    """
+    WITH ints AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS terms FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    one AS (SELECT vec_id, min(terms) AS terms FROM ints GROUP BY vec_id),
+    pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               list_sum(list_transform(list_zip(q.terms, c.terms), lambda t: t[1] * t[2]))::BIGINT AS score
+        FROM one q JOIN one c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+    WHERE rank <= 20
+    """
+)
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best others of every twentieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@registered()
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extracted(table(spark, sf_dir, "pages"))
