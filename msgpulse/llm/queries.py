@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpulse.llm import html, jaccard, mixing, packing, pii, quality, topk, toxicity
+from msgpulse.llm import html, jaccard, mixing, packing, pii, quality, records, topk, toxicity
+from msgpulse.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,3 +153,11 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extracted(table(spark, sf_dir, "pages"))
+
+
+@registered()
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from the record files."""
+    path = scratch_path(spark, "records")
+    records.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return records.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
