@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpulse.llm import html, jaccard, mixing, packing, pii, quality, records, topk, toxicity
+from msgpulse.llm import html, jaccard, mixing, packing, pii, quality, records, spans, topk, toxicity
 from msgpulse.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,9 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "records")
     records.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return records.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@registered()
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that repeat elsewhere."""
+    return spans.without_repeats(table(spark, sf_dir, "documents"))
