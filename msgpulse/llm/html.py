@@ -161,7 +161,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
+    # A comment that never ends takes the rest of the page.
+    page.feed(html + "-->" if html.rfind("<!--") > html.rfind("-->") else html)
     page.close()
     lines = [line for line in page.lines if line[2] in page.articles] or page.lines
     if not lines:

@@ -29,6 +29,8 @@ _END = re.compile(r"[.!?…][\"')\]”’»]*\s+|\s*\n\s*")
 
 def sentences(text: str) -> list[str]:
     """The pieces of a text, each with the white space behind it; together they are the text."""
+    if not text:
+        return []
     cuts = [found.end() for found in _END.finditer(text)]
     bounds = [0, *cuts] if cuts and cuts[-1] == len(text) else [0, *cuts, len(text)]
     return [text[a:b] for a, b in zip(bounds, bounds[1:])]
