@@ -84,8 +84,12 @@ def class_sizes(messages: DataFrame, share: float = 0.75) -> DataFrame:
 
 
 def migration_parity(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Per store: uncertain codes before against NULL labels after."""
-    before = old.groupBy("ticker").agg(F.count_if(F.col("sentiment") == UNCERTAIN).alias("sentinels_before"))
+    """Per store: uncertain codes and NULL labels before against NULL labels after."""
+    without = F.col("sentiment").isNull() | (F.col("sentiment") == UNCERTAIN)
+    before = old.groupBy("ticker").agg(
+        F.count_if(F.col("sentiment") == UNCERTAIN).alias("sentinels_before"),
+        F.count_if(F.coalesce(without, F.lit(False))).alias("_without"),
+    )
     after = new.groupBy("ticker").agg(F.count_if(F.col("sentiment").isNull()).alias("nulls_after"))
     return (
         before.join(after, "ticker", "full_outer")
@@ -93,6 +97,6 @@ def migration_parity(old: DataFrame, new: DataFrame) -> DataFrame:
             "ticker",
             F.coalesce("sentinels_before", F.lit(0)).alias("sentinels_before"),
             F.coalesce("nulls_after", F.lit(0)).alias("nulls_after"),
+            (F.coalesce("_without", F.lit(0)) == F.coalesce("nulls_after", F.lit(0))).alias("same"),
         )
-        .withColumn("same", F.col("sentinels_before") == F.col("nulls_after"))
     )

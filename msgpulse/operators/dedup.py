@@ -32,8 +32,10 @@ def first_message_per_text(messages: DataFrame) -> DataFrame:
 
     The survivors are found on (digest, time, id) alone, and whole messages are then
     met by their unique id: however often one text was copied, its copies never
-    come together in one task with their bodies.
+    come together in one task with their bodies. A message without a body is no copy of
+    another and stays, under a key of its own.
     """
-    narrow = messages.select(F.sha2("body", 256).alias("_text"), "created_at", "id")
+    text = F.coalesce(F.sha2("body", 256), F.concat(F.lit("no body "), "id"))
+    narrow = messages.select(text.alias("_text"), "created_at", "id")
     survivors = first_per_key(narrow, ["_text"], [F.col("created_at"), F.col("id")])
     return messages.join(survivors.select("id"), "id", "left_semi")

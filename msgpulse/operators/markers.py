@@ -29,47 +29,70 @@ def _time_then_id(descending_ties: bool = False) -> Column:
     return (micros * span + (-number if descending_ties else number)).cast("decimal(38,0)")
 
 
-def ticker_markers(messages: DataFrame, numeric_ids: bool = True, min_rows: int = 2) -> DataFrame:
+def id_order(column: str = "id") -> Column:
+    """Ids as (length, text): whole numbers stand in their order, and ids of letters and digits by length first."""
+    return F.struct(F.length(column).alias("length"), F.col(column).alias("text"))
+
+
+def ticker_markers(messages: DataFrame, min_rows: int = 2) -> DataFrame:
     """Oldest and newest message (id, time) per ticker; ties go to the smallest id.
 
-    Tickers with fewer than ``min_rows`` messages have no markers. With numeric
-    ids everything is one hash aggregate over one scan of three narrow columns;
-    text ids compare as (time, id) structs instead, which Spark aggregates by
-    sorting.
+    Ids may be numbers or text; among equal times numbers stand before text. ``n`` counts the
+    messages that can be a marker, those with an id and a time, and tickers with fewer than ``min_rows``
+    of them have no markers. Numbers are reduced by one hash aggregate over three narrow
+    columns; text ids compare as structs, which Spark aggregates by sorting, so only they are.
     """
-    if numeric_ids:
-        at = F.when(_number().isNotNull(), F.col("created_at"))
-        aggregated = (
-            messages.groupBy("ticker")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.min(at).alias("oldest_at"),
-                F.max(at).alias("newest_at"),
-                F.min(_time_then_id()).alias("_oldest"),
-                F.max(_time_then_id(descending_ties=True)).alias("_newest"),
-            )
-            .withColumns(
-                {
-                    "oldest_id": _id_part("_oldest", "oldest_at"),
-                    "newest_id": -_id_part("_newest", "newest_at"),
-                }
-            )
-        )
-    else:
-        aggregated = messages.groupBy("ticker").agg(
+    usable = messages.select("ticker", "id", "created_at").where("id IS NOT NULL AND created_at IS NOT NULL")
+    numbers = (
+        usable.where(_number().isNotNull())
+        .groupBy("ticker")
+        .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("created_at").alias("oldest_at"),
             F.max("created_at").alias("newest_at"),
-            F.min(F.struct("created_at", "id")).getField("id").alias("oldest_id"),
-            F.min(F.struct((-F.unix_micros("created_at")).alias("back"), "id")).getField("id").alias("newest_id"),
+            F.min(_time_then_id()).alias("_oldest"),
+            F.max(_time_then_id(descending_ties=True)).alias("_newest"),
+        )
+        .select(
+            "ticker",
+            "n",
+            _marker("oldest_at", F.lit(0), _id_part("_oldest", "oldest_at").cast("string")).alias("oldest"),
+            _marker("newest_at", F.lit(0), (-_id_part("_newest", "newest_at")).cast("string"), -1).alias("newest"),
+        )
+    )
+    texts = (
+        usable.where(_number().isNull())
+        .groupBy("ticker")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(_marker("created_at", F.lit(1), F.col("id"))).alias("oldest"),
+            F.min(_marker("created_at", F.lit(1), F.col("id"), -1)).alias("newest"),
+        )
+    )
+    return (
+        numbers.unionByName(texts)
+        .groupBy("ticker")
+        .agg(F.sum("n").alias("n"), F.min("oldest").alias("oldest"), F.min("newest").alias("newest"))
+        .where(F.col("n") >= min_rows)
+        .select(
+            "ticker",
+            F.col("oldest.text").alias("oldest_id"),
+            F.col("oldest.at").alias("oldest_at"),
+            F.col("newest.text").alias("newest_id"),
+            F.col("newest.at").alias("newest_at"),
+            "n",
         )
-    return aggregated.where(F.col("n") >= min_rows).select(
-        "ticker",
-        F.col("oldest_id").cast("string").alias("oldest_id"),
-        "oldest_at",
-        F.col("newest_id").cast("string").alias("newest_id"),
-        "newest_at",
-        "n",
+    )
+
+
+def _marker(at: str, kind: Column, text: Column, sign: int = 1) -> Column:
+    """Time (or its negative), numbers before text, then the id's order; the least is the marker."""
+    return F.struct(
+        (sign * F.unix_micros(at)).alias("order"),
+        kind.alias("kind"),
+        F.length(text).alias("length"),
+        text.alias("text"),
+        F.col(at).alias("at"),
     )
 
 
@@ -98,18 +121,19 @@ def with_markers(rows: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def beyond_cursor(rows: DataFrame, markers: DataFrame, direction: str) -> DataFrame:
-    """Rows a fetch in the given direction may still bring, by numeric id.
+    """Rows a fetch in the given direction may still bring.
 
-    BACKWARD keeps ids below the oldest marker, FORWARD ids above the newest;
-    a ticker without markers is not restricted.
+    BACKWARD keeps ids below the oldest marker, FORWARD ids above the newest, in the order of
+    ``id_order`` (whole numbers by value); a ticker without markers is not restricted, and a row without an id
+    cannot be compared and stays.
     """
     if direction == NONE:
         return rows
-    number = _number()
-    if direction == BACKWARD:
-        bound = markers.select("ticker", F.col("oldest_id").cast("bigint").alias("_bound"))
-        keep = number < F.col("_bound")
-    else:
-        bound = markers.select("ticker", F.col("newest_id").cast("bigint").alias("_bound"))
-        keep = number > F.col("_bound")
-    return rows.join(bound, "ticker", "left").where(F.col("_bound").isNull() | keep).drop("_bound")
+    side = "oldest_id" if direction == BACKWARD else "newest_id"
+    bound = markers.select("ticker", F.col(side).alias("_bound"))
+    number, limit = _number(), F.expr("try_cast(_bound AS BIGINT)")
+    below = F.coalesce(number < limit, id_order() < id_order("_bound"))
+    above = F.coalesce(number > limit, id_order() > id_order("_bound"))
+    keep = below if direction == BACKWARD else above
+    open_ended = F.col("_bound").isNull() | F.col("id").isNull()
+    return rows.join(bound, "ticker", "left").where(open_ended | keep).drop("_bound")

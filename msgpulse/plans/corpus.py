@@ -21,7 +21,7 @@ from msgpulse.plans.inputs import (
 )
 from msgpulse.schema import CSV_COLUMNS, MESSAGE_COLUMNS, STORE_COLUMNS, conform
 from msgpulse.session import materialise, scratch_path
-from msgpulse.sources import files, sinks, sqlite_stores
+from msgpulse.sources import files, sinks
 
 # Phrases that occur in the given documents; the shipped lexicon is about another feed.
 PHRASES = ["free", "$$$", "stupid", "(license", "a.b"]
@@ -37,11 +37,25 @@ def csv_corpus(spark, sf):
     return files.csv_corpus(spark, root).select(*CSV_COLUMNS)
 
 
-@query("s2_sqlite_stores", f"WITH {EV_SQL} SELECT {EV_COLUMNS_SQL} FROM ev")
-def sqlite_corpus(spark, sf):
-    root = scratch_path(spark, "stores")
-    sqlite_stores.export_stores(event_messages(spark, sf), root).write.format("noop").mode("overwrite").save()
-    return conform(sqlite_stores.store_corpus(spark, root))
+@query(
+    "s1_rejected_values",
+    f"""WITH {EV_SQL} SELECT id, CASE WHEN likes % 3 = 0 THEN 'bull' ELSE CAST(sentiment AS VARCHAR) END AS sentiment,
+        CASE WHEN likes % 5 = 0 THEN 'x' ELSE CAST(likes AS VARCHAR) END AS likes FROM ev WHERE likes % 3 = 0 OR likes % 5 = 0""",
+)
+def rejected_values(spark, sf):
+    """Rows of a corpus in which a label or a number is none."""
+    root = scratch_path(spark, "csv")
+    text = event_messages(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in CSV_COLUMNS])
+    third, fifth = F.col("likes").cast("bigint") % 3 == 0, F.col("likes").cast("bigint") % 5 == 0
+    doctored = text.withColumns(
+        {
+            "sentiment": F.when(third, "bull").otherwise(F.col("sentiment")),
+            "likes": F.when(fifth, "x").otherwise(F.col("likes")),
+        }
+    )
+    doctored.write.option("header", True).csv(root)
+    _, rejects = files.csv_corpus_and_rejects(spark, root)
+    return rejects.select("id", "sentiment", "likes")
 
 
 @query("s3_one_ticker", f"WITH {EV_SQL} SELECT {EV_COLUMNS_SQL} FROM ev WHERE ticker = 'C'")
@@ -51,10 +65,10 @@ def one_ticker(spark, sf):
     return files.one_ticker(sinks.read_messages(spark, path), "C")
 
 
-@query("s4_parquet_corpus", "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND n_chars > 1000")
+@query("s4_parquet_corpus", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
 def parquet_corpus(spark, sf):
     found = files.parquet_corpus(spark, f"{sf}/documents.parquet")
-    return found.where((F.col("lang") == "en") & (F.col("n_chars") > 1000)).select("doc_id", "lang", "source")
+    return found.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
 _CORPUS_SQL = """SELECT sha256('id' || chr(31) || CAST(vec_id AS VARCHAR) || chr(31) || 'vector ' || vec_id) AS id,
@@ -284,6 +298,19 @@ def first_per_text(spark, sf):
     return first.select("id", F.md5("body").alias("body_md5"), "created_at")
 
 
+@query(
+    "w1_missing_bodies",
+    f"""WITH {DOC_SQL}, m AS (SELECT * REPLACE (CASE WHEN likes % 3 = 0 THEN NULL ELSE body END AS body) FROM doc)
+        SELECT id, md5(body) AS body_md5 FROM (
+            SELECT *, row_number() OVER (PARTITION BY body ORDER BY created_at, id) AS r FROM m WHERE body IS NOT NULL) WHERE r = 1
+        UNION ALL SELECT id, NULL FROM m WHERE body IS NULL""",
+)
+def missing_bodies(spark, sf):
+    """Messages without a body are no copies of one another."""
+    messages = document_messages(spark, sf).withColumn("body", F.when(F.col("likes") % 3 != 0, F.col("body")))
+    return dedup.first_message_per_text(messages).select("id", F.md5("body").alias("body_md5"))
+
+
 @query(
     "w1_first_per_id",
     f"""WITH {EV_SQL}, twice AS (SELECT * FROM ev UNION ALL SELECT * REPLACE ('again' AS body,

@@ -129,6 +129,27 @@ def stocktwits_feed(spark, sf):
     return adapters.stocktwits_messages(raw)
 
 
+@query(
+    "s8_rejected_payloads",
+    """SELECT '{"ticker":"' || chr(CAST(65 + user_id % 20 AS INTEGER)) || '","messages":[{"id":' || event_id
+              || CASE WHEN event_id % 7 = 0 THEN '' ELSE '}]}' END AS record, event_id % 7 = 0 AS rejected FROM events""",
+)
+def rejected_payloads(spark, sf):
+    """Payload lines cut short come back as rejects; every other line is read."""
+    path = scratch_path(spark, "payloads")
+    record = F.concat(
+        F.lit('{"ticker":"'), letter(F.col("user_id")), F.lit('","messages":[{"id":'), F.col("event_id").cast("string")
+    )
+    whole = F.concat(record, F.lit("}]}"))
+    table(spark, sf, "events").select(F.when(F.col("event_id") % 7 == 0, record).otherwise(whole)).write.text(path)
+    good, bad = adapters.landed_and_rejects(spark, "stocktwits", path)
+    read = good.select("ticker", F.explode("messages.id").alias("id")).select(
+        F.concat(F.lit('{"ticker":"'), "ticker", F.lit('","messages":[{"id":'), F.col("id").cast("string"), F.lit("}]}")).alias("record"),
+        F.lit(False).alias("rejected"),
+    )
+    return read.unionByName(bad.select("record", F.lit(True).alias("rejected")))
+
+
 @query("p2_strict_labels", _stocktwits_sql("0", "0"))
 def strict_labels(spark, sf):
     """The compatibility decoding: only an explicit null is unlabelled."""

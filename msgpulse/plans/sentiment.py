@@ -11,7 +11,7 @@ from msgpulse.operators import aggregates, filters, keyed, markers, migrate, ran
 from msgpulse.plans.catalogue import query
 from msgpulse.plans.inputs import EV_COLUMNS_SQL, EV_SQL, LOG_SQL, PRICES_SQL, event_messages, event_prices, fetch_log, table
 from msgpulse.schema import RECORD_COLUMNS, STORE_COLUMNS, conform, in_order
-from msgpulse.session import materialise
+from msgpulse.session import materialise, scratch_path
 
 _DAILY_SQL = """daily AS (
     SELECT ticker, CAST(created_at AS DATE) AS day, avg(sentiment) AS bullish_ratio, count(*) AS n
@@ -70,14 +70,52 @@ def ticker_markers(spark, sf):
     return markers.ticker_markers(event_messages(spark, sf))
 
 
+_TEXT_IDS_SQL = """ids AS (SELECT * REPLACE (CASE WHEN likes % 3 = 0 THEN 'k' || id ELSE id END AS id) FROM ev)"""
+
+
+def _text_ids(spark, sf):
+    """Every third id is text."""
+    id_ = F.when(F.col("likes") % 3 == 0, F.concat(F.lit("k"), "id")).otherwise(F.col("id"))
+    return event_messages(spark, sf).withColumn("id", id_)
+
+
+_ORDERED_SQL = """marks AS (
+    SELECT ticker, min_by(id, (created_at, CASE WHEN id LIKE 'k%' THEN 1 ELSE 0 END, length(id), id)) AS oldest_id,
+           min(created_at) AS oldest_at,
+           min_by(id, (-epoch_us(created_at), CASE WHEN id LIKE 'k%' THEN 1 ELSE 0 END, length(id), id)) AS newest_id,
+           max(created_at) AS newest_at, CAST(count(*) AS BIGINT) AS n
+    FROM {rows} GROUP BY ticker HAVING count(*) > 1)"""
+
+
+@query("a6_text_ids", f"WITH {EV_SQL}, {_TEXT_IDS_SQL}, {_ORDERED_SQL.format(rows='ids')} SELECT * FROM marks")
+def text_id_markers(spark, sf):
+    return markers.ticker_markers(_text_ids(spark, sf))
+
+
+@query(
+    "f10_text_ids",
+    f"""WITH {EV_SQL}, {_TEXT_IDS_SQL}, part AS (SELECT * FROM ids WHERE created_at < '2024-01-16'),
+        {_ORDERED_SQL.format(rows='part')}
+        SELECT ids.id, ids.ticker FROM ids LEFT JOIN marks ON ids.ticker = marks.ticker
+        WHERE marks.ticker IS NULL OR CASE WHEN ids.id NOT LIKE 'k%' AND newest_id NOT LIKE 'k%'
+            THEN TRY_CAST(ids.id AS BIGINT) > TRY_CAST(newest_id AS BIGINT)
+            ELSE (length(ids.id), ids.id) > (length(newest_id), newest_id) END""",
+)
+def text_id_cursor(spark, sf):
+    messages = _text_ids(spark, sf)
+    stored = materialise(markers.ticker_markers(messages.where("created_at < '2024-01-16'")), "markers")
+    return markers.beyond_cursor(messages, stored, markers.FORWARD).select("id", "ticker")
+
+
 @query(
     "a5_markers_size_guard",
-    f"""WITH {EV_SQL}, per AS (SELECT author AS ticker, id, created_at FROM ev WHERE sentiment = 0),
+    f"""WITH {EV_SQL}, per AS (SELECT substr(id, 1, length(id) - 1) AS ticker, id, created_at FROM ev),
         {_MARKERS_SQL.format(rows='per')} SELECT * FROM marks""",
 )
 def guarded_markers(spark, sf):
-    per_author = event_messages(spark, sf).where("sentiment = 0").withColumn("ticker", F.col("author"))
-    return markers.ticker_markers(per_author)
+    """Groups of ids that share all but the last digit; the first ten ids are groups of one digit less."""
+    tens = F.expr("substring(id, 1, length(id) - 1)")
+    return markers.ticker_markers(event_messages(spark, sf).withColumn("ticker", tens))
 
 
 @query(
@@ -92,15 +130,20 @@ def fetch_tally(spark, sf):
 
 @query(
     "a11_migration_parity",
-    f"""WITH {EV_SQL}, old AS (SELECT ticker, CASE WHEN sentiment IS NULL THEN 1 ELSE sentiment END AS s FROM ev)
-        SELECT ticker, CAST(count(*) FILTER (s = -69) AS BIGINT) AS sentinels_before,
-               CAST(count(*) FILTER (nullif(s, -69) IS NULL) AS BIGINT) AS nulls_after,
-               count(*) FILTER (s = -69) = count(*) FILTER (nullif(s, -69) IS NULL) AS same
-        FROM old GROUP BY ticker""",
+    f"""WITH {EV_SQL}
+        SELECT ticker, CAST(count(*) FILTER (sentiment = -69) AS BIGINT) AS sentinels_before,
+               CAST(count(*) FILTER (nullif(sentiment, -69) IS NULL) AS BIGINT) AS nulls_after, true AS same
+        FROM ev GROUP BY ticker""",
 )
 def migration_parity(spark, sf):
-    old = event_messages(spark, sf).withColumn("sentiment", F.coalesce("sentiment", F.lit(1)))
-    return aggregates.migration_parity(old, migrate.migrated(old))
+    """Both tables as stored, the old one with NULL labels of its own."""
+    return aggregates.migration_parity(*_migrated_tables(spark, sf))
+
+
+def _migrated_tables(spark, sf):
+    old_path, new_path = scratch_path(spark, "old"), scratch_path(spark, "new")
+    event_messages(spark, sf).write.parquet(old_path)
+    return migrate.migrate_table(spark, old_path, new_path)
 
 
 @query(
@@ -340,8 +383,10 @@ def conformed(spark, sf):
 
 @query("e2_migrated_table", f"WITH {EV_SQL} SELECT * REPLACE (nullif(sentiment, -69) AS sentiment) FROM ev")
 def migrated(spark, sf):
-    shuffled_columns = event_messages(spark, sf).select("ticker", *reversed(STORE_COLUMNS))
-    return migrate.migrated(materialise(shuffled_columns, "old-layout"))
+    """The old table in another column order, the new one as written and read back."""
+    old_path = scratch_path(spark, "old-layout")
+    event_messages(spark, sf).select("ticker", *reversed(STORE_COLUMNS)).write.parquet(old_path)
+    return migrate.migrate_table(spark, old_path, scratch_path(spark, "new-layout"))[1]
 
 
 @query(
@@ -374,7 +419,6 @@ def quarter_hours(spark, sf):
         count(*) AS n, CAST(created_at AS DATE) AS day FROM ev WHERE sentiment <> -69 GROUP BY 1, 2, 5""",
 )
 def hourly_archive(spark: SparkSession, sf):
-    from msgpulse.session import scratch_path
     from msgpulse.sources.sinks import archive_hourly
 
     path = scratch_path(spark, "hourly")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -147,7 +149,11 @@ def own_model(spark, sf):
 
 
 # --- classifiers --------------------------------------------------------------------------
-# No SQL form; the tests check these on their contracts.
+# Weights have no SQL form; what must hold of every result has, and is compared.
+
+_PART_SQL = "CASE WHEN u < 0.75 THEN 'train' WHEN u < 0.9375 THEN 'test' ELSE 'val' END"
+_WEAK_PARTS_SQL = f"""weak AS ({_WEAK_SQL}),
+    parts AS (SELECT {_PART_SQL} AS part FROM (SELECT {_UNIT_SQL.format(id='id')} AS u FROM weak))"""
 
 
 def _spam_model(spark, sf):
@@ -162,55 +168,106 @@ def _sentiment_model(spark, sf):
     return clf.fitted(sets.where("part = 'train'"), "sentiment"), sets
 
 
-@query("l2_spam_classifier")
+def _learned(losses):
+    """Rows of each part, and for the one fitted on whether its loss is below that of a coin."""
+    return losses.select("part", "n", ((F.col("part") == "train") & (F.col("log_loss") < math.log(2))).alias("learned"))
+
+
+@query(
+    "l2_spam_classifier",
+    f"WITH {_WEAK_PARTS_SQL} SELECT part, count(*) AS n, part = 'train' AS learned FROM parts GROUP BY part",
+)
 def spam_classifier(spark, sf):
-    """Fit on the weak labels; log loss of every part."""
+    """Fit on the weak labels; every part's rows and loss."""
     model, weak = _spam_model(spark, sf)
-    return clf.mean_log_loss(weak, model, "is_spam", "part").withColumn("log_loss", F.round("log_loss", 6))
+    return _learned(clf.mean_log_loss(weak, model, "is_spam", "part"))
 
 
-@query("l3_sentiment_classifier")
+@query(
+    "l3_sentiment_classifier",
+    f"""WITH {DOC_SQL}, ham AS (SELECT * FROM doc WHERE sentiment IN (0, 1) AND is_spam = 0), {_CHOSEN_SQL.format(rows='ham')},
+        u AS (SELECT ham.id, chosen.id IS NOT NULL AS train,
+              {_UNIT_SQL.replace("'split'", "'balance'").format(id='ham.id')} AS u FROM ham LEFT JOIN chosen ON ham.id = chosen.id),
+        parts AS (SELECT CASE WHEN train THEN 'train' WHEN u < 0.75 THEN 'test' ELSE 'val' END AS part FROM u)
+        SELECT part, count(*) AS n, part = 'train' AS learned FROM parts GROUP BY part""",
+)
 def sentiment_classifier(spark, sf):
+    """Fit on the balanced part; every part's rows, and that the part fitted on has been learned."""
     model, sets = _sentiment_model(spark, sf)
-    return clf.mean_log_loss(sets, model, "sentiment", "part").withColumn("log_loss", F.round("log_loss", 6))
+    return _learned(clf.mean_log_loss(sets, model, "sentiment", "part"))
 
 
-@query("l4_batch_scoring")
+@query("l4_batch_scoring", f"WITH {DOC_SQL} SELECT id, true AS has_label FROM doc")
 def batch_scoring(spark, sf):
+    """Every id once, with one of the three labels."""
     model, _ = _sentiment_model(spark, sf)
-    return clf.classified(document_messages(spark, sf).select("id", "body"), model).select("id", "sentiment")
+    scored = clf.classified(document_messages(spark, sf).select("id", "body"), model)
+    return scored.select("id", F.coalesce(F.col("sentiment").isin(1, 0, -69), F.lit(False)).alias("has_label"))
 
 
-@query("l5_back_fill")
+@query("l5_back_fill", f"WITH {DOC_SQL} SELECT id, sentiment AS stored, true AS has_label FROM doc")
 def back_fill(spark, sf):
-    """Predictions of all unlabelled rows appended to a table and applied to the messages."""
+    """Predictions of all unlabelled rows appended to a table and applied; stored labels stay as they are."""
     model, _ = _sentiment_model(spark, sf)
     messages = document_messages(spark, sf)
     path = scratch_path(spark, "predictions")
     sinks.append_predictions(clf.predictions_for(messages, model, "v1"), path)
-    return keyed.with_predictions(messages, sinks.read_predictions(spark, path)).select("id", "sentiment")
+    filled = keyed.with_predictions(messages, sinks.read_predictions(spark, path))
+    predicted = sinks.read_predictions(spark, path).select("id", F.lit(True).alias("predicted"))
+    return filled.join(predicted, "id", "left").select(
+        "id",
+        F.when(F.col("predicted").isNull(), F.col("sentiment")).alias("stored"),
+        F.coalesce(F.col("sentiment").isin(1, 0, -69), F.lit(False)).alias("has_label"),
+    )
 
 
-@query("l6_ham_filtered_corpus")
+@query("l6_ham_filtered_corpus", f"WITH {DOC_SQL} SELECT id, sentiment, true AS has_flag FROM doc WHERE sentiment IN (0, 1)")
 def ham_filtered_corpus(spark, sf):
     """Labelled rows with the spam model's flag, written and read as the next stage does."""
     model, _ = _spam_model(spark, sf)
     flagged = clf.spam_flagged(filters.labelled(document_messages(spark, sf).drop("is_spam")), model)
-    return materialise(flagged, "filtered").select("id", "sentiment", "is_spam")
+    found = stored_rows(flagged, "filtered")
+    return found.select("id", "sentiment", F.coalesce(F.col("is_spam").isin(0, 1), F.lit(False)).alias("has_flag"))
+
 
+def stored_rows(rows, label):
+    """A whole corpus written and read again, as between two jobs."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-@query("l7_live_order")
+
+@query(
+    "l7_live_order",
+    f"WITH {DOC_SQL} SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_spam_left, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_open FROM doc",
+)
 def live_order(spark, sf):
-    """Spam out first, then sentiment for what has none, then the histogram's input."""
+    """Spam out first, then sentiment for what has none. Kept and dropped rows are all there are, no spam
+    is left, stored labels are unchanged and none is open."""
     spam, _ = _spam_model(spark, sf)
     sentiment, _ = _sentiment_model(spark, sf)
-    messages = document_messages(spark, sf).drop("is_spam")
-    return clf.live_labels(messages, sentiment, spam, drop_spam=True).select("id", "sentiment", "is_spam")
+    messages = document_messages(spark, sf).drop("is_spam").withColumn("stored", F.col("sentiment"))
+    live = clf.live_labels(messages, sentiment, spam, drop_spam=True)
+    dropped = clf.spam_flagged(messages, spam).where("is_spam = 1").agg(F.count(F.lit(1)).alias("n_dropped"))
+    counts = live.agg(
+        F.count(F.lit(1)).alias("n_kept"),
+        F.count_if(F.col("is_spam") == 1).alias("n_spam_left"),
+        F.count_if(F.col("stored") != F.col("sentiment")).alias("n_changed"),
+        F.count_if(F.col("sentiment").isNull()).alias("n_open"),
+    )
+    return (
+        counts.withColumn("part", F.lit(1))
+        .join(dropped.withColumn("part", F.lit(1)), "part")
+        .select((F.col("n_kept") + F.col("n_dropped")).alias("n"), "n_spam_left", "n_changed", "n_open")
+    )
 
 
-@query("k6_saved_model")
+@query("k6_saved_model", f"WITH {DOC_SQL} SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different FROM doc")
 def saved_model(spark, sf):
+    """Rows whose flag differs before and after the model was stored."""
     path = scratch_path(spark, "model")
     model, _ = _spam_model(spark, sf)
     clf.save(model, path)
-    return clf.spam_flagged(document_messages(spark, sf).select("id", "body"), clf.load(path)).select("id", "is_spam")
+    rows = clf.spam_flagged(document_messages(spark, sf).select("id", "body"), model).withColumnRenamed("is_spam", "before")
+    again = clf.spam_flagged(rows, clf.load(path))
+    return again.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("before").eqNullSafe(F.col("is_spam"))).alias("n_different"))

@@ -65,7 +65,7 @@ def conform(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
             value = F.try_to_timestamp(F.col(field.name))
         else:
             value = F.col(field.name)
-        value = value.cast(field.dataType)
+        value = value.try_cast(field.dataType) if field.name in present else value.cast(field.dataType)
         if field.name in _DEFAULTS:
             value = F.coalesce(value, F.lit(_DEFAULTS[field.name]).cast(field.dataType))
         projected.append(value.alias(field.name))

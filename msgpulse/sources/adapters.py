@@ -50,6 +50,20 @@ def landed(spark: SparkSession, payload: str, path: str) -> DataFrame:
     return spark.read.schema(PAYLOADS[payload]).json(path)
 
 
+def landed_and_rejects(spark: SparkSession, payload: str, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Payloads that could be read, and the (file, record) of those that could not.
+
+    ``multi_line`` takes a whole file as one payload, as pretty-printed ones are.
+    """
+    text = spark.read.text(path, wholetext=multi_line).select("value", F.col("_metadata.file_path").alias("file"))
+    schema = f"{PAYLOADS[payload]}, _corrupt_record STRING"
+    read = text.where(F.length(F.trim("value")) > 0).withColumn(
+        "payload", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    )
+    bad = F.col("payload").isNull() | F.col("payload._corrupt_record").isNotNull()
+    return read.where(~bad).select("payload.*").drop("_corrupt_record"), read.where(bad).select("file", F.col("value").alias("record"))
+
+
 def landing(spark: SparkSession, payload: str, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """The same files as an endless stream of arrivals."""
     reader = spark.readStream.schema(PAYLOADS[payload])

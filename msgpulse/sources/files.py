@@ -30,12 +30,31 @@ def csv_corpus(spark: SparkSession, root: str, columns: Sequence[str] = tuple(CS
 
     ``columns`` is the header order of these files; read corpora with another
     header separately and unite them by name. Labels may be written as whole or
-    decimal numbers, and headers repeated by appending writers are skipped. Quoted line breaks are honoured, so the file is the unit of
-    parallelism; export corpora as many files.
+    decimal numbers, and headers repeated by appending writers are skipped. Values that are not of
+    their type become NULL; ``csv_corpus_and_rejects`` sets such rows apart. Quoted line breaks are
+    honoured, so the file is the unit of parallelism; export corpora as many files.
     """
-    schema = T.StructType([T.StructField(c, _CSV_TYPES.get(c, T.StringType())) for c in columns])
+    return conform(_csv_values(_csv_text(spark, root, columns), columns))
+
+
+def csv_corpus_and_rejects(
+    spark: SparkSession, root: str, columns: Sequence[str] = tuple(CSV_COLUMNS)
+) -> tuple[DataFrame, DataFrame]:
+    """Messages whose values all have their type, and the rows, as text, in which some value has not."""
+    text = _csv_text(spark, root, columns)
+    wrong = F.lit(False)
+    for name, kind in _CSV_TYPES.items():
+        if name in columns:
+            wrong = wrong | (F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull())
+    if "created_at" in columns:
+        wrong = wrong | (F.col("created_at").isNotNull() & F.try_to_timestamp("created_at").isNull())
+    return conform(_csv_values(text.where(~wrong), columns)), text.where(wrong)
+
+
+def _csv_text(spark: SparkSession, root: str, columns: Sequence[str]) -> DataFrame:
+    """All values as text, without repeated headers."""
     raw = (
-        spark.read.schema(schema)
+        spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
         .option("header", True)
         .option("enforceSchema", False)
         .option("multiLine", True)
@@ -45,7 +64,11 @@ def csv_corpus(spark: SparkSession, root: str, columns: Sequence[str] = tuple(CS
         .csv(root)
     )
     repeated_header = (F.col("id") == "id") & (F.col("body") == "body")
-    return conform(raw.where(~F.coalesce(repeated_header, F.lit(False))))
+    return raw.where(~F.coalesce(repeated_header, F.lit(False)))
+
+
+def _csv_values(text: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return text.withColumns({c: F.col(c).try_cast(kind) for c, kind in _CSV_TYPES.items() if c in columns})
 
 
 def parquet_corpus(spark: SparkSession, *paths: str) -> DataFrame:
@@ -58,11 +81,11 @@ def one_ticker(messages: DataFrame, ticker: str) -> DataFrame:
     return messages.where(F.col("ticker") == ticker)
 
 
-def json_corpus(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+def json_corpus(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """Labelled sentences from ``{key: {sentence, info: [{sentiment_score}]}}`` objects.
 
-    ``whole_file`` reads one object per file; otherwise every line is an object
-    and large files are split.
+    Every line is an object, so large files are split; ``whole_file`` reads one object per
+    file instead, which makes the file the unit of parallelism.
     """
     text = spark.read.text(path, wholetext=whole_file)
     return text.select(F.explode(F.from_json("value", JSON_CORPUS_SCHEMA)).alias("key", "entry")).select(

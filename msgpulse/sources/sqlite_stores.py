@@ -12,15 +12,11 @@ from __future__ import annotations
 import glob
 import os
 import sqlite3
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -33,7 +29,6 @@ from pyspark.sql.datasource import (
     LessThanOrEqual,
 )
 
-from msgpulse.schema import STORE_COLUMNS
 from msgpulse.session import local_form
 
 _SCHEMA = (
@@ -169,61 +164,3 @@ def store_corpus(spark: SparkSession, root: str, **options) -> DataFrame:
     """All stores below a root; ``created_at`` stays text until it is conformed."""
     spark.dataSource.register(MessageStores)
     return spark.read.format(MessageStores.name()).options(**options).load(root)
-
-
-def export_stores(messages: DataFrame, root: str, rows_per_store: int = 1_000_000) -> DataFrame:
-    """Write messages as SQLite stores below a mounted root; returns rows per file.
-
-    Each task streams its rows into files of its own, ``<root>/tickers/<T>/
-    twits-<task>-<n>.db``, starting the next file after ``rows_per_store`` rows; a
-    ticker with a large share of the messages is split over many tasks. A file is
-    built under a temporary name and renamed when complete, so a repeated task
-    replaces its own output.
-    """
-    base, step = local_form(root), min(_BATCH_ROWS, rows_per_store)
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, store, done = TaskContext.get().partitionId(), None, []
-        for batch in batches:
-            for ticker, rows in batch.groupby("ticker", sort=False):
-                for start in range(0, len(rows), step):
-                    if store is None or store.ticker != ticker or store.rows >= rows_per_store:
-                        number = 0
-                        if store is not None:
-                            done.append(store.finish())
-                            number = store.number + 1 if store.ticker == ticker else 0
-                        store = _StoreWriter(base, ticker, task, number)
-                    store.add(rows[STORE_COLUMNS].iloc[start : start + step])
-        if store is not None:
-            done.append(store.finish())
-        yield pd.DataFrame(done, columns=["ticker", "store", "n"]).astype({"n": "int64"})
-
-    text_time = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    columns = messages.withColumn("created_at", text_time).select(*STORE_COLUMNS, "ticker")
-    # Sorted, so that a task has one store open at a time.
-    spread = columns.hint("rebalance", F.col("ticker")).sortWithinPartitions("ticker")
-    return spread.mapInPandas(write, "ticker string, store string, n bigint")
-
-
-class _StoreWriter:
-    """One store file under construction."""
-
-    def __init__(self, base: str, ticker: str, task: int, number: int):
-        self.ticker, self.number, self.rows = ticker, number, 0
-        folder = os.path.join(base, "tickers", ticker)
-        os.makedirs(folder, exist_ok=True)
-        self.final = os.path.join(folder, f"twits-{task}-{number}.db")
-        self.temporary = f"{self.final}.{uuid.uuid4().hex}.part"
-        self.conn = sqlite3.connect(self.temporary)
-        self.conn.execute(_CREATE)
-
-    def add(self, rows: pd.DataFrame) -> None:
-        records = rows.astype(object).where(rows.notna(), None)
-        self.conn.executemany("INSERT OR IGNORE INTO messages VALUES (?, ?, ?, ?, ?, ?, ?, ?)", records.values.tolist())
-        self.rows += len(rows)
-
-    def finish(self) -> tuple[str, str, int]:
-        self.conn.commit()
-        self.conn.close()
-        os.replace(self.temporary, self.final)
-        return self.ticker, os.path.basename(self.final), self.rows

@@ -78,8 +78,23 @@ def test_marker_ties_go_to_the_smallest_id(spark):
     )
     numeric = markers.ticker_markers(messages).first()
     assert (numeric.oldest_id, numeric.newest_id, numeric.n) == ("4", "70", 5)
-    as_text = markers.ticker_markers(messages, numeric_ids=False).first()
-    assert (as_text.oldest_id, as_text.newest_id) == ("30", "200")
+    as_text = markers.ticker_markers(messages.withColumn("id", F.concat(F.lit("k"), "id"))).first()
+    assert (as_text.oldest_id, as_text.newest_id, as_text.n) == ("k4", "k70", 5)
+
+
+def test_text_ids_take_part_in_markers_and_pass_the_cursor(spark):
+    rows = [("A", "10", 1), ("A", "20", 2), ("A", "k3x8", 3), ("A", "k3x9", 4), ("A", None, 9), ("B", "k1", 1), ("B", None, 2)]
+    messages = spark.createDataFrame(rows, "ticker string, id string, s long").withColumn("created_at", F.timestamp_seconds("s"))
+    found = markers.ticker_markers(messages).collect()
+    assert [(r.ticker, r.oldest_id, r.newest_id, r.n) for r in found] == [("A", "10", "k3x9", 4)]
+    known = spark.createDataFrame([("A", "20", "20")], "ticker string, oldest_id string, newest_id string")
+    assert {r.id for r in markers.beyond_cursor(messages.where("ticker = 'A'"), known, markers.FORWARD).collect()} == {"k3x8", "k3x9", None}
+
+
+def test_messages_without_body_are_no_copies(spark):
+    rows = [(str(k), None if k < 10 else "same", k) for k in range(12)]
+    messages = spark.createDataFrame(rows, "id string, body string, s long").withColumn("created_at", F.timestamp_seconds("s"))
+    assert {r.id for r in dedup.first_message_per_text(messages).collect()} == {str(k) for k in range(11)}
 
 
 def test_markers_before_1970_and_with_negative_ids(spark):
@@ -235,7 +250,7 @@ def test_migration_keeps_parity(golden):
     rows = aggregates.migration_parity(old, migrate.migrated(old)).collect()
     assert [(r.ticker, r.sentinels_before, r.nulls_after, r.same) for r in rows] == [("AAPL", 1, 1, True)]
     mixed = aggregates.migration_parity(golden, migrate.migrated(golden)).where("ticker = 'MSFT'").first()
-    assert not mixed.same
+    assert mixed.same and mixed.nulls_after == 1
 
 
 def test_fetch_outcomes(spark):

@@ -115,15 +115,6 @@ def test_empty_root_has_no_rows(spark, tmp_path):
     assert sqlite_stores.store_corpus(spark, str(tmp_path)).count() == 0
 
 
-def test_store_export_round_trip(spark, golden, tmp_path):
-    rows = golden.where("body IS NOT NULL").withColumn("id", F.concat("id", F.lit("-"), "author"))
-    written = sqlite_stores.export_stores(rows, str(tmp_path), rows_per_store=2).collect()
-    assert sum(r.n for r in written) == 5 and len({r.store for r in written if r.ticker == "AAPL"}) >= 2
-    back = conform(sqlite_stores.store_corpus(spark, str(tmp_path)))
-    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
-    assert not list(tmp_path.rglob("*.part"))
-
-
 def test_store_migration(spark, stores):
     old = sqlite_stores.store_corpus(spark, stores).where("ticker = 'AAPL'")
     new = migrate.migrated(old)
@@ -131,6 +122,25 @@ def test_store_migration(spark, stores):
     assert new.where("sentiment = -69").count() == 0 and old.where("sentiment = -69").count() == 1
 
 
+def test_unreadable_payloads_come_back(spark, tmp_path):
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.json").write_text('{"ticker":"A","messages":[{"id":1}]}\n{"ticker":"A","messages":[{"id":2\n\n')
+    good, bad = adapters.landed_and_rejects(spark, "stocktwits", str(tmp_path / "cut"))
+    assert good.count() == 1 and [r.record for r in bad.collect()] == ['{"ticker":"A","messages":[{"id":2']
+    (tmp_path / "pretty").mkdir()
+    (tmp_path / "pretty" / "b.json").write_text('{\n "ticker": "A",\n "messages": [{"id": 3}]\n}\n')
+    good, bad = adapters.landed_and_rejects(spark, "stocktwits", str(tmp_path / "pretty"), multi_line=True)
+    assert [r.messages[0].id for r in good.collect()] == [3] and bad.count() == 0
+
+
+def test_values_of_another_type_come_back(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,body,author,created_at,source,sentiment,likes,replies\n1,a,u,2020-01-01 00:00:00,s,bull,1,0\n2,b,u,2020-01-01 00:00:00,s,1,x,0\n3,c,u,n/a,s,0,1,0\n4,d,u,2020-01-01 00:00:00,s,1.0,,\n")
+    good, bad = files.csv_corpus_and_rejects(spark, str(tmp_path))
+    assert [(r.id, r.sentiment, r.likes) for r in good.collect()] == [("4", 1, 0)]
+    assert sorted(r.id for r in bad.collect()) == ["1", "2", "3"]
+    assert files.csv_corpus(spark, str(tmp_path)).count() == 4
+
+
 def test_json_corpus(spark, tmp_path):
     corpus = {
         "1": {"sentence": "up", "info": [{"sentiment_score": "0.05", "snippets": "x"}]},
@@ -139,10 +149,10 @@ def test_json_corpus(spark, tmp_path):
         "4": {"sentence": "none", "info": []},
     }
     write(tmp_path / "posts.json", json.dumps(corpus, indent=2))
-    rows = files.json_corpus_messages(files.json_corpus(spark, str(tmp_path / "posts.json")), "2021-03-01").collect()
+    rows = files.json_corpus_messages(files.json_corpus(spark, str(tmp_path / "posts.json"), whole_file=True), "2021-03-01").collect()
     assert {r.body: r.sentiment for r in rows} == {"up": 1, "flat": -69, "down": 0, "none": None}
     assert {r.source for r in rows} == {"FIQA"} and len({r.id for r in rows} | {r.author for r in rows}) == 8
-    again = files.json_corpus_messages(files.json_corpus(spark, str(tmp_path / "posts.json")), "2021-03-01").collect()
+    again = files.json_corpus_messages(files.json_corpus(spark, str(tmp_path / "posts.json"), whole_file=True), "2021-03-01").collect()
     assert sorted(rows) == sorted(again)
 
 
