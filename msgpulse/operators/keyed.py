@@ -65,15 +65,14 @@ def overlay_spam_flags(messages: DataFrame, spam_ids: DataFrame, ham_ids: DataFr
 
     Rows on neither list keep ``flag`` (NULL, "unknown", unless given).
     """
-    spam = spam_ids.select("id").distinct().withColumn("_spam", F.lit(True))
-    ham = ham_ids.select("id").distinct().withColumn("_ham", F.lit(True))
-    otherwise = F.lit(None).cast("int") if flag is None else flag
-    return (
-        messages.join(spam, "id", "left")
-        .join(ham, "id", "left")
-        .withColumn("is_spam", F.when(F.col("_spam"), 1).when(F.col("_ham"), 0).otherwise(otherwise).cast("int"))
-        .drop("_spam", "_ham")
+    flags = (
+        spam_ids.select("id", F.lit(1).alias("_flag"))
+        .unionByName(ham_ids.select("id", F.lit(0).alias("_flag")))
+        .groupBy("id")
+        .agg(F.max("_flag").alias("_flag"))
     )
+    otherwise = F.lit(None).cast("int") if flag is None else flag
+    return messages.join(flags, "id", "left").withColumn("is_spam", F.coalesce("_flag", otherwise).cast("int")).drop("_flag")
 
 
 def with_predictions(messages: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -22,11 +22,14 @@ def relative_sentiment(messages: DataFrame, trailing: int = 30) -> DataFrame:
 
 
 def price_correlation(daily: DataFrame, prices: DataFrame, lag_days: int = 0) -> DataFrame:
-    """Correlation per ticker of daily sentiment with the close ``lag_days`` later.
+    """Correlation per ticker of daily sentiment with the close ``lag_days`` observed days later.
 
-    ``prices(ticker, day, close)`` is met by an equi-join on (ticker, day).
+    ``prices(ticker, day, close)`` has one row per ticker and trading day, so the day after
+    Friday is Monday; rows are met by an equi-join on (ticker, day).
     """
-    shifted = prices.select("ticker", F.date_sub("day", lag_days).alias("day"), "close")
+    by_day = Window.partitionBy("ticker").orderBy("day")
+    later = F.lead("close", lag_days).over(by_day) if lag_days else F.col("close")
+    shifted = prices.select("ticker", "day", later.alias("close")).where("close IS NOT NULL")
     return (
         daily.join(shifted, ["ticker", "day"])
         .groupBy("ticker")

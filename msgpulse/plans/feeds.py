@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgpulse.functions.text import cashtags
-from msgpulse.operators import aggregates
+from msgpulse.operators import aggregates, keyed
 from msgpulse.operators.markers import FORWARD, beyond_cursor, ticker_markers
 from msgpulse.plans.catalogue import query
 from msgpulse.plans.inputs import EV_COLUMNS_SQL, EV_SQL, FIRST_MINUTE, event_messages, letter, messages_of_events, table
@@ -168,6 +168,61 @@ def twitter_feed(spark, sf):
     return adapters.twitter_messages(adapters.landed(spark, "twitter", _land_twitter(spark, sf)))
 
 
+_MENTIONS_SQL = """posts AS (
+        SELECT conv_id || '-' || turn AS id, '$' || chr(CAST(65 + conv_id % 20 AS INTEGER)) || ' $'
+               || lower(chr(CAST(65 + turn % 20 AS INTEGER))) || '. $ZZZ ' || coalesce(text, '') AS body,
+               make_timestamp(1704067200000000 + conv_id % 2880 * 60000000) AS created_at
+        FROM conversations),
+    named AS (
+        SELECT DISTINCT id, body, created_at, upper(rtrim(unnest(regexp_extract_all(body, '\\$([A-Za-z][A-Za-z.]*)', 1)), '.')) AS ticker
+        FROM posts)"""
+
+
+def _land_mentions(spark: SparkSession, sf: str) -> str:
+    """Turns of conversations as posts with a listed or unlisted, a lower-case and an unknown cashtag."""
+    path = scratch_path(spark, "mentions")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    body = F.concat(F.lit("$"), letter(conv), F.lit(" $"), F.lower(letter(turn)), F.lit(". $ZZZ "), F.coalesce("text", F.lit("")))
+    post = F.struct(
+        F.concat_ws("-", conv, turn).alias("id"),
+        body.alias("text"),
+        F.date_format(F.timestamp_seconds(conv % 2880 * 60 + FIRST_MINUTE), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        F.lit("en").alias("lang"),
+    )
+    table(spark, sf, "conversations").select(F.to_json(F.struct(F.array(post).alias("data")))).write.text(path)
+    return path
+
+
+def _first_letters(spark, sf):
+    """Ten listed tickers, from the given events."""
+    found = table(spark, sf, "events").select(letter(F.col("user_id")).alias("ticker")).distinct()
+    return materialise(found.where("ticker < 'K'"), "tickers")
+
+
+@query(
+    "s9_twitter_search",
+    f"""WITH {_MENTIONS_SQL} SELECT id, ticker, md5(body) AS body_md5, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY created_at DESC, id) AS rank FROM named
+        WHERE ticker IN (SELECT chr(CAST(65 + user_id % 20 AS INTEGER)) FROM events) AND ticker < 'K') WHERE rank <= 100""",
+)
+def twitter_search(spark, sf):
+    raw = adapters.landed(spark, "twitter", _land_mentions(spark, sf))
+    found = adapters.twitter_search(raw, _first_letters(spark, sf))
+    return found.select("id", "ticker", F.md5("body").alias("body_md5"), "rank")
+
+
+@query(
+    "j7_several_mentions",
+    f"""WITH {_MENTIONS_SQL} SELECT id, ticker FROM named
+        WHERE ticker IN (SELECT chr(CAST(65 + user_id % 20 AS INTEGER)) FROM events) AND ticker < 'K'""",
+)
+def several_mentions(spark, sf):
+    """Posts with several cashtags meet the list; unlisted ones are no rows."""
+    raw = adapters.landed(spark, "twitter", _land_mentions(spark, sf))
+    posts = adapters.twitter_messages(raw).select("id", "body")
+    return keyed.ticker_mentions(posts, _first_letters(spark, sf)).select("id", F.col("mention").alias("ticker"))
+
+
 @query("p3_twitter_records", f"SELECT id, author, created_at, likes FROM ({_TWITTER_SQL})")
 def twitter_records(spark, sf):
     raw = adapters.landed(spark, "twitter", _land_twitter(spark, sf))

@@ -450,9 +450,14 @@ def price_correlation(spark, sf):
 
 @query(
     "d4_next_day_correlation",
-    f"""WITH {EV_SQL}, {_DAILY_SQL}, {PRICES_SQL} SELECT d.ticker, round(corr(bullish_ratio, close), 6) AS correlation,
-        count(*) AS n_days FROM daily d JOIN prices p ON d.ticker = p.ticker AND p.day = d.day + 1 GROUP BY 1""",
+    f"""WITH {EV_SQL}, {_DAILY_SQL}, {PRICES_SQL},
+        trading AS (SELECT * FROM prices WHERE dayofweek(day) NOT IN (0, 6)),
+        later AS (SELECT ticker, day, lead(close) OVER (PARTITION BY ticker ORDER BY day) AS close FROM trading)
+        SELECT ticker, round(corr(bullish_ratio, close), 6) AS correlation, count(*) AS n_days
+        FROM daily JOIN later USING (ticker, day) WHERE close IS NOT NULL GROUP BY 1""",
 )
 def next_day_correlation(spark, sf):
+    """With the close of the next trading day; weekends have no prices."""
     daily_rows = aggregates.daily_sentiment(event_messages(spark, sf))
-    return _rounded(series.price_correlation(daily_rows, event_prices(spark, sf), lag_days=1), "correlation")
+    trading = event_prices(spark, sf).where(~F.dayofweek("day").isin(1, 7))
+    return _rounded(series.price_correlation(daily_rows, trading, lag_days=1), "correlation")

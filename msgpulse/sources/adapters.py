@@ -141,6 +141,13 @@ def reddit_search(raw: DataFrame, tickers: DataFrame, as_of, limit: int = SEARCH
     return conform(best, extra=["relevance", "rank"])
 
 
+def twitter_search(raw: DataFrame, tickers: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """English posts that name a listed ticker as a cashtag, the latest ``limit`` per ticker, each with its ticker."""
+    named = ticker_mentions(twitter_messages(raw).drop("ticker"), tickers).withColumnRenamed("mention", "ticker")
+    best = top_per_group(named, ["ticker"], [F.col("created_at").desc_nulls_last(), F.col("id")], limit)
+    return conform(best, extra=["rank"])
+
+
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "stocktwits": stocktwits_messages,
     "twitter": twitter_messages,

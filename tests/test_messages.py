@@ -294,13 +294,11 @@ def test_relative_sentiment_uses_preceding_days_only(spark):
     assert abs(got[3] - (0.5 - 2.5 / 3) / (1 / 12) ** 0.5) < 1e-9
 
 
-def test_correlation_with_lag(spark):
-    daily = spark.createDataFrame(
-        [("A", dt.date(2021, 1, d), r) for d, r in [(1, 0.1), (2, 0.5), (3, 0.9)]], "ticker string, day date, bullish_ratio double"
-    )
-    prices = spark.createDataFrame(
-        [("A", dt.date(2021, 1, d + 1), c) for d, c in [(1, 1.0), (2, 5.0), (3, 9.0)]], "ticker string, day date, close double"
-    )
+def test_correlation_with_lag_counts_observed_days(spark):
+    """Friday, Monday and Tuesday meet the closes of Monday, Tuesday and Wednesday."""
+    days = [dt.date(2021, 1, d) for d in (1, 4, 5, 6)]
+    daily = spark.createDataFrame(list(zip("AAA", days, (0.1, 0.5, 0.9))), "ticker string, day date, bullish_ratio double")
+    prices = spark.createDataFrame(list(zip("AAAA", days, (7.0, 1.0, 5.0, 9.0))), "ticker string, day date, close double")
     got = series.price_correlation(daily, prices, lag_days=1).first()
     assert got.n_days == 3 and abs(got.correlation - 1) < 1e-9
 
