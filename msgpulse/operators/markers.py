@@ -56,40 +56,42 @@ def ticker_markers(messages: DataFrame, min_rows: int = 2) -> DataFrame:
         .select(
             "ticker",
             "n",
-            _marker("oldest_at", F.lit(0), _id_part("_oldest", "oldest_at").cast("string")).alias("oldest"),
-            _marker("newest_at", F.lit(0), (-_id_part("_newest", "newest_at")).cast("string"), -1).alias("newest"),
+            _marker("oldest_at", _id_part("_oldest", "oldest_at").cast("string")).alias("oldest"),
+            _marker("newest_at", (-_id_part("_newest", "newest_at")).cast("string"), -1).alias("newest"),
         )
     )
-    texts = (
-        usable.where(_number().isNull())
-        .groupBy("ticker")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(_marker("created_at", F.lit(1), F.col("id"))).alias("oldest"),
-            F.min(_marker("created_at", F.lit(1), F.col("id"), -1)).alias("newest"),
-        )
-    )
-    return (
-        numbers.unionByName(texts)
-        .groupBy("ticker")
-        .agg(F.sum("n").alias("n"), F.min("oldest").alias("oldest"), F.min("newest").alias("newest"))
-        .where(F.col("n") >= min_rows)
-        .select(
-            "ticker",
-            F.col("oldest.text").alias("oldest_id"),
-            F.col("oldest.at").alias("oldest_at"),
-            F.col("newest.text").alias("newest_id"),
-            F.col("newest.at").alias("newest_at"),
-            "n",
-        )
+    return _merged(numbers.unionByName(_reduced(usable.where(_number().isNull()))), min_rows)
+
+
+def marker_state(messages: DataFrame) -> DataFrame:
+    """The same for every ticker in a single aggregation, as a stream needs it."""
+    usable = messages.select("ticker", "id", "created_at").where("id IS NOT NULL AND created_at IS NOT NULL")
+    return _reduced(usable).selectExpr("ticker", *_RESULT, "n")
+
+
+def _reduced(usable: DataFrame) -> DataFrame:
+    return usable.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(_marker("created_at", F.col("id"))).alias("oldest"),
+        F.min(_marker("created_at", F.col("id"), -1)).alias("newest"),
     )
 
 
-def _marker(at: str, kind: Column, text: Column, sign: int = 1) -> Column:
+def _merged(parts: DataFrame, min_rows: int) -> DataFrame:
+    merged = parts.groupBy("ticker").agg(F.sum("n").alias("n"), F.min("oldest").alias("oldest"), F.min("newest").alias("newest"))
+    return merged.where(F.col("n") >= min_rows).selectExpr("ticker", *_RESULT, "n")
+
+
+_RESULT = ("oldest.text AS oldest_id", "oldest.at AS oldest_at", "newest.text AS newest_id", "newest.at AS newest_at")
+
+
+def _marker(at: str, text: Column, sign: int = 1) -> Column:
     """Time (or its negative), numbers before text, then the id's order; the least is the marker."""
+    number = text.try_cast("bigint")
     return F.struct(
         (sign * F.unix_micros(at)).alias("order"),
-        kind.alias("kind"),
+        number.isNull().alias("is_text"),
+        F.coalesce(number, F.lit(0)).alias("number"),
         F.length(text).alias("length"),
         text.alias("text"),
         F.col(at).alias("at"),

@@ -64,12 +64,12 @@ def landed_and_rejects(spark: SparkSession, payload: str, path: str, multi_line:
     return read.where(~bad).select("payload.*").drop("_corrupt_record"), read.where(bad).select("file", F.col("value").alias("record"))
 
 
-def landing(spark: SparkSession, payload: str, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same files as an endless stream of arrivals."""
-    reader = spark.readStream.schema(PAYLOADS[payload])
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+def landing(spark: SparkSession, payload: str, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The same files as an endless stream of arrivals.
+
+    ``files_per_trigger`` only divides the work, so that a backlog is no single round.
+    """
+    return spark.readStream.schema(PAYLOADS[payload]).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
 def stocktwits_messages(raw: DataFrame, strict_compat: bool = False) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from msgpulse.functions.times import hour_label
 from msgpulse.operators.filters import labelled
-from msgpulse.operators.markers import ticker_markers
+from msgpulse.operators.markers import marker_state
+from msgpulse.session import materialise
 from msgpulse.sources.sinks import STORE_KEYS, insert_if_absent
 
 
@@ -44,14 +45,11 @@ def ingest(
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # Stored once for its several uses. The small query gives Spark the batch's exact
-        # size for its join choice, and the ids' range to skip stored files by.
-        batch = batch.persist()
-        try:
-            lo, hi = batch.agg(F.min("id"), F.max("id")).first()
-            result = insert_if_absent(batch, path, keys, None if lo is None else (lo, hi))
-        finally:
-            batch.unpersist()
+        # Written once to the shared folder for its several uses, which survives lost executors.
+        # Its files give Spark the exact size for its join choice, and the ids' range to skip stored files by.
+        batch = materialise(batch, "arrivals")
+        lo, hi = batch.agg(F.min("id"), F.max("id")).first()
+        result = insert_if_absent(batch, path, keys, None if lo is None else (lo, hi))
         if on_result is not None:
             on_result(batch_id, result)
 
@@ -60,7 +58,7 @@ def ingest(
 
 def running_markers(messages: DataFrame) -> DataFrame:
     """Oldest / newest per ticker as running state, one row per ticker."""
-    return ticker_markers(messages, min_rows=1)
+    return marker_state(messages)
 
 
 def keep_latest(state: DataFrame, path: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
