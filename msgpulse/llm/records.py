@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from msgpulse.llm.scratch import stored
 from msgpulse.llm.tokens import encoder
 
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 _HAS_ID, _WIDE = 1, 2
 # Fixed value: the constant of the mask.
 _MASK = 0xA282EAD8
-_BATCH = 8 << 20
+_BATCH = 4 << 20
 
 INDEX = "file STRING, place BIGINT, doc_id BIGINT, offset BIGINT, length BIGINT, n_tokens BIGINT"
 RECORDS = "file STRING, doc_id BIGINT, start_in_file BIGINT, n_tokens BIGINT, ids BINARY"
@@ -97,7 +98,7 @@ def write(
     path: str,
     vocabulary: str,
     end_id: int = 2,
-    file_bytes: int = 32 << 20,
+    file_bytes: int = 16 << 20,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> None:
@@ -169,12 +170,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield _records(held)
 
-    files = (
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per file, stored so that its size is known and the records are not shuffled to meet it.
+    files = stored(
         index_of(spark, path)
         .groupBy(F.col("file").alias("of"))
         .agg(F.sum("n_tokens").alias("tokens"))
-        # One row per file.
-        .select("of", F.coalesce(F.sum("tokens").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+        .select("of", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")),
+        "bases",
     )
     return (
         _files(spark, path)

@@ -55,7 +55,7 @@ class _Kept(dict):
 class WordEncoder:
     """Little-endian ``uint32`` ids of whole texts; ``limit`` bounds the words kept."""
 
-    def __init__(self, path: str, spaces: str, limit: int = 800_000):
+    def __init__(self, path: str, spaces: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
