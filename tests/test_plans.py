@@ -45,9 +45,12 @@ def test_time_range_reaches_the_scan(stored):
     assert "GreaterThanOrEqual(created_at" in plan(aggregates.hourly_sentiment(stored, "2024-01-05", "2024-01-06"))
 
 
-def test_markers_are_hash_aggregates(stored):
+def test_numeric_markers_are_hash_aggregates(stored):
+    """Only text ids, and one row of either kind per ticker, are reduced by sorting."""
     text = plan(markers.ticker_markers(stored))
-    assert text.count("HashAggregate") == 2 and "SortAggregate" not in text and text.count("FileScan") == 1
+    assert text.count("HashAggregate") == 2 and text.count("SortAggregate") == 4 and text.count("FileScan") == 2
+    narrow = re.findall(r"ReadSchema: (\S+)", text)
+    assert len(narrow) == 2 and not any("body" in columns for columns in narrow)
 
 
 def test_dedup_is_cut_before_its_only_shuffle(stored):
