@@ -1,9 +1,9 @@
 """Substring deduplication by sliding spans of sentences.
 
-From every sentence on, the span is the shortest run of sentences that has at least two of them
-and ``min_words`` words, or one that alone has ``long_words``. Where a span ends depends only on
-what it holds, so copies of a passage have the same spans wherever they stand. Every span is
-hashed, the hashes are counted over all documents, spans that occur again meet their hash's first
+From every sentence on, and up to every sentence, the span is the shortest run of sentences that has
+at least two of them and ``min_words`` words, or one that alone has ``long_words``. Where a span ends depends
+only on what it holds, so copies of a passage have the same spans wherever they stand; those that begin in it
+and those that end in it together cover all of it. Every span is hashed, the hashes are counted over all documents, spans that occur again meet their hash's first
 occurrence, and sentences inside any span but a first one are removed.
 
 The first occurrence is that with the least (document id, sentence). Counting reduces inside each
@@ -41,15 +41,28 @@ def spans(pieces: list[str], min_words: int, long_words: int) -> list[tuple[int,
     words = [piece.split() for piece in pieces]
     sizes = [len(w) for w in words]
     digests = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
-    found = []
+    runs = set()
     for start in range(len(pieces)):
         total = 0
         for end in range(start + 1, len(pieces) + 1 if sizes[start] else 0):
             total += sizes[end - 1]
             if total >= (long_words if end == start + 1 else min_words):
-                mark = xxhash.xxh3_128_intdigest(b"".join(digests[start:end]))
-                found.append((start, end - start, (mark & (2**64 - 1)) - 2**63, mark >> 97))
+                runs.add((start, end))
+                break
+    for last, size in enumerate(sizes):
+        # A long sentence is a run alone, which begins there too.
+        total = size
+        for start in range(last - 1, -1 if 0 < size < long_words else last, -1):
+            if not sizes[start]:
                 break
+            total += sizes[start]
+            if total >= min_words:
+                runs.add((start, last + 1))
+                break
+    found = []
+    for start, end in sorted(runs):
+        mark = xxhash.xxh3_128_intdigest(b"".join(digests[start:end]))
+        found.append((start, end - start, (mark & (2**64 - 1)) - 2**63, mark >> 97))
     return found
 
 

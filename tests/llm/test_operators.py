@@ -231,6 +231,41 @@ def test_substring_dedup_equals_one_pass(spark, sf, odd, nothing):
     assert spans.without_repeats(nothing).count() == 0
 
 
+def every_run(docs):
+    """Sentences that stand in any run of two of them and 15 words, or one of 25, that stands earlier too."""
+    sizes = [[len(piece.split()) for piece in doc] for doc in docs]
+    runs = [
+        (tuple(doc[a:b]), d, a, b)
+        for d, doc in enumerate(docs)
+        for a in range(len(doc))
+        for b in range(a + 1, len(doc) + 1)
+        if sum(sizes[d][a:b]) >= (15 if b > a + 1 else 25)
+    ]
+    first, gone = {}, [set() for _ in docs]
+    for run, d, a, b in runs:
+        if first.setdefault(run, (d, a)) != (d, a):
+            gone[d] |= set(range(a, b))
+    return gone
+
+
+def sentence(k, n):
+    return " ".join([f"s{k}n{n}"] * n) + "."
+
+
+def test_repeated_passages_go_to_their_last_sentence(spark):
+    passage = [sentence(1, 9), sentence(2, 37), sentence(3, 13)]
+    docs = [[sentence(4, 7), *passage, sentence(5, 8)], [sentence(6, 30), *passage, sentence(7, 5)]]
+    rng = np.random.default_rng(3)
+    stock = [sentence(k, n) for k, n in enumerate([1, 2, 4, 6, 9, 12, 14, 15, 18, 24, 25, 40])]
+    docs += [[stock[k] for k in rng.integers(0, len(stock), rng.integers(0, 14))] for _ in range(300)]
+    rows = [(k, " ".join(doc)) for k, doc in enumerate(docs)]
+    found = {r.doc_id: r for r in spans.without_repeats(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)).collect()}
+    assert found[1].n_removed == 3 and found[1].text.split() == " ".join([docs[1][0], docs[1][4]]).split()
+    for (key, _), doc, gone in zip(rows, docs, every_run(docs)):
+        assert found[key].n_removed == len(gone)
+        assert found[key].text.split() == " ".join(piece for k, piece in enumerate(doc) if k not in gone).split()
+
+
 # --- toxicity
 
 
