@@ -504,6 +504,31 @@ def test_pages_of_odd_rows(spark):
     assert html.extracted(pages.where("page_id < 0")).count() == 0
 
 
+WORDS = "Some words of the story that go on and on. " * 8
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='has-sidebar'><article><p>{}</p></article><div class='sidebar'>More</div></div>",
+        "<div class='sidebar'><article><p>{}</p></article></div>",
+        "<article class='post category-social social'><p>{}</p></article><div id='comments'><article>me too</article></div>",
+        "<div class='elementor-widget'><div class='elementor-widget-container'><p>{}</p></div></div>",
+        "<div class='widget'><p>{}</p></div>",
+        "<form action='.'><input type='hidden'><input name='q'><div><p>{}</p></div></form>",
+        "<form><input name='q'>Find</form><main><p>{}</p></main>",
+        "<main><article><p>{}</p></article><ol class='comments'><li>" + 20 * WORDS + "</ol></main>",
+    ],
+)
+def test_names_do_not_drop_the_story(page):
+    assert html.main_text(f"<body>{page.format(WORDS)}</body>") == WORDS.strip()
+
+
+def test_headings_with_anchors_stay():
+    page = f"<article><h2 id='related-work'>Related</h2><p>{WORDS}</p><h2 id='ad-hoc-queries'>Ad hoc</h2><h3 id='search'>Search</h3></article>"
+    assert html.main_text(page) == f"Related\n{WORDS.strip()}\nAd hoc\nSearch"
+
+
 def test_pages_without_names_go_by_ratio():
     menu = "".join(f"<li><a href='/{k}'>go {k}</a></li>" for k in range(12))
     story = "".join(f"<p>{'Some words of the story that go on and on. ' * 5}</p>" for _ in range(5))
