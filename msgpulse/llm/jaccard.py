@@ -53,14 +53,13 @@ def _intersections(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
 
 
 def linked(
-    sets: list[np.ndarray], bands: np.ndarray, band: int, side: np.ndarray, similarity: Fraction
+    sets: list[np.ndarray], bands: np.ndarray, band: int, side: np.ndarray | None, similarity: Fraction
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) at the similarity that first meet in this band.
 
-    ``side`` is 0 or 1; texts of different blocks are compared across, texts of one block among themselves.
+    With a ``side`` (0 or 1) texts of different sides are compared, without one all among themselves.
     """
     n = np.array([len(s) for s in sets])
-    across = side.any() and not side.all()
     over, under = similarity.numerator, similarity.denominator
     for start in range(0, len(sets), _STRIP):
         rows = np.arange(start, min(start + _STRIP, len(sets)))
@@ -69,7 +68,7 @@ def linked(
             wanted &= bands[rows, k][:, None] != bands[None, :, k]
         wanted &= np.arange(len(sets))[None, :] > rows[:, None]
         wanted &= under * np.minimum(n[rows][:, None], n[None, :]) >= over * np.maximum(n[rows][:, None], n[None, :])
-        if across:
+        if side is not None:
             wanted &= side[rows][:, None] != side[None, :]
         i, j = np.nonzero(wanted)
         if not len(i):
@@ -99,7 +98,13 @@ def _verified(similarity: Fraction, bands: int):
             found, signatures = group.column("shingles"), group.column("bands")
             sets = [np.frombuffer(found[int(k)].as_py(), np.uint64) for k in kept]
             signature = np.stack([np.frombuffer(signatures[int(k)].as_py(), np.int64) for k in kept])
-            block = group.column("block").to_numpy()[kept]
+            side = None
+            if group.column("across")[0].as_py():
+                block = group.column("block").to_numpy()[kept]
+                side = block != block[0]
+                # The other block is empty; this one's texts meet in their own pair.
+                if not side.any():
+                    continue
             root = np.arange(len(tids))
             links = np.zeros(len(tids), np.int64)
 
@@ -108,7 +113,7 @@ def _verified(similarity: Fraction, bands: int):
                     root[k] = k = root[root[k]]
                 return k
 
-            for i, j in linked(sets, signature, group.column("band")[0].as_py(), block != block[0], similarity):
+            for i, j in linked(sets, signature, group.column("band")[0].as_py(), side, similarity):
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
                 for a, b in zip(i.tolist(), j.tolist()):
@@ -209,9 +214,9 @@ def near_copies(
     pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
     compared = (
         spread.withColumn("pair", pair)
-        .select("key", "band", "pair", "block", "tid")
+        .select("key", "band", "pair", "block", (F.col("block") != F.col("other")).alias("across"), "tid")
         .join(sets, "tid")
-        .select("key", "band", "pair", "block", "tid", "copies", "bands", "shingles")
+        .select("key", "band", "pair", "block", "across", "tid", "copies", "bands", "shingles")
         .repartition("key", "band", "pair")
         .sortWithinPartitions("key", "band", "pair")
         .mapInArrow(_verified(limit, bands), "tid BINARY, root BINARY, links BIGINT")

@@ -182,6 +182,16 @@ def test_near_copies_in_many_blocks_equal_all_pairs(spark):
     assert Counter((i, c) for i, c, _ in found) == Counter((i, c) for i, c, _ in wanted)
 
 
+def test_near_copies_with_more_blocks_than_texts_are_counted_once(spark):
+    rows = []
+    for family in range(10):
+        words = [f"f{family}w{k}" for k in range(200)]
+        rows += [(len(rows) + copy, " ".join([*words, *[f"x{copy}"] * copy])) for copy in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    found = jaccard.near_copies(docs, block_load=150).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == plain_near_copies(rows)
+
+
 def test_banding_reaches_the_recall():
     bands, rows = shingles.banding_for(0.8, 0.995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.995 and bands * rows <= 128
