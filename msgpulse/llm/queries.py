@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpulse.llm import html, jaccard, mixing, packing, pii, quality, records, spans, topk, toxicity
+from msgpulse.llm import html, jaccard, mixing, packing, pii, quality, records, spans, topk, toxicity, whitening
 from msgpulse.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,9 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences that repeat elsewhere."""
     return spans.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@registered()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every usable vector, by an incremental eigendecomposition."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
