@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpulse.llm import html, jaccard, mixing, packing, pii, quality, records, spans, topk, toxicity, whitening
+from msgpulse.llm import alignment, html, jaccard, mixing, packing, pii, quality, records, spans, topk, toxicity, whitening
 from msgpulse.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 32 whitened components of every usable vector, by an incremental eigendecomposition."""
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@registered()
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizations of every document, with corpus-wide pair counts."""
+    return alignment.aligned(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    )
