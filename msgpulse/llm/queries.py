@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpulse.llm import alignment, html, jaccard, mixing, packing, pii, quality, records, spans, topk, toxicity, whitening
+from msgpulse.llm import alignment, attention, html, jaccard, mixing, packing, pii, quality, records, spans, topk, toxicity, whitening
 from msgpulse.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,3 +181,9 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.aligned(
         table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
     )
+
+
+@registered()
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by gated attention over its passages, learned from the training fold."""
+    return attention.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
