@@ -141,33 +141,52 @@ ALIGNED = (
 )
 
 
-def aligned_texts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows holding at most ``most`` characters (a longer row alone)."""
+    lo, held = 0, 0
+    for k, n in enumerate(lengths):
+        if k > lo and held + n > most:
+            yield lo, k
+            lo, held = k, 0
+        held += n
+    if lo < len(lengths):
+        yield lo, len(lengths)
+
+
+def aligned_texts(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = 1 << 20) -> DataFrame:
     """One row per document with its groups and distinct links, from one Python pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = sides(a_path, b_path)
+        encode = getattr(both.a, "encode_batch_fast", both.a.encode_batch)
         empty = np.zeros(0, dtype=np.int64)
         for batch in batches:
             texts = batch["text"].tolist()
-            live = [k for k, t in enumerate(texts) if isinstance(t, str) and t]
-            a_all = both.a.encode_batch([" " + texts[k] for k in live], add_special_tokens=False)
-            b_all = both.b.encode([texts[k] for k in live]) if live else []
-            found = [None] * len(texts)
-            for k, a_enc, b_ids in zip(live, a_all, b_all):
-                a_ids = a_enc.ids
-                target = (" " + texts[k]).encode()
-                if (
-                    b"".join(map(both.a_bytes.__getitem__, a_ids)) == target
-                    and b"".join(map(both.b_bytes.__getitem__, b_ids)) == target
-                ):
-                    found[k] = align(a_ids, b_ids, both.a_len, both.b_len)
-            rows = [
-                f if f is not None else _NONE | {"pair_a": empty, "pair_b": empty, "pair_n": empty} for f in found
-            ]
-            out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair_a", "pair_b", "pair_n"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            out.insert(0, "_row", batch["_row"].to_numpy())
-            yield out
+            # Slices of at most ``slice_bytes`` of text: the tokenizers hold one slice at a time.
+            for lo, hi in _slices([len(t) if isinstance(t, str) else 0 for t in texts], slice_bytes):
+                part = texts[lo:hi]
+                live = [k for k, t in enumerate(part) if isinstance(t, str) and t]
+                a_all = encode([" " + part[k] for k in live], add_special_tokens=False) if live else []
+                b_all = both.b.encode([part[k] for k in live]) if live else []
+                found = [None] * len(part)
+                for k, a_enc, b_ids in zip(live, a_all, b_all):
+                    a_ids = a_enc.ids
+                    target = (" " + part[k]).encode()
+                    if (
+                        b"".join(map(both.a_bytes.__getitem__, a_ids)) == target
+                        and b"".join(map(both.b_bytes.__getitem__, b_ids)) == target
+                    ):
+                        found[k] = align(a_ids, b_ids, both.a_len, both.b_len)
+                del a_all, b_all
+                rows = [
+                    f if f is not None else _NONE | {"pair_a": empty, "pair_b": empty, "pair_n": empty} for f in found
+                ]
+                out = pd.DataFrame(
+                    rows, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair_a", "pair_b", "pair_n"]
+                )
+                out.insert(0, "doc_id", batch["doc_id"].iloc[lo:hi].astype("Int64").to_numpy())
+                out.insert(0, "_row", batch["_row"].iloc[lo:hi].to_numpy())
+                yield out
 
     keyed = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint"), "text")
     return keyed.mapInPandas(run, ALIGNED)
