@@ -21,7 +21,7 @@ from msgpulse.plans.inputs import (
 )
 from msgpulse.schema import CSV_COLUMNS, MESSAGE_COLUMNS, STORE_COLUMNS, conform
 from msgpulse.session import materialise, scratch_path
-from msgpulse.sources import files, sinks
+from msgpulse.sources import compaction, files, sinks
 
 # Phrases that occur in the given documents; the shipped lexicon is about another feed.
 PHRASES = ["free", "$$$", "stupid", "(license", "a.b"]
@@ -151,6 +151,19 @@ def insert_if_absent(spark, sf):
     return sinks.read_messages(spark, path)
 
 
+@query("k3_compacted", f"WITH {EV_SQL} SELECT {EV_COLUMNS_SQL} FROM ev")
+def compacted(spark, sf):
+    """An insert per week, everything once more, then compaction: same rows, one file per ticker."""
+    path = scratch_path(spark, "messages")
+    messages = event_messages(spark, sf)
+    day = F.dayofyear("created_at")
+    for first in range(1, 367, 7):
+        sinks.insert_if_absent(messages.where(day.between(first, first + 6)), path)
+    sinks.insert_if_absent(messages, path)
+    compaction.compact(spark, path)
+    return sinks.read_messages(spark, path)
+
+
 @query(
     "k4_keyed_update",
     f"""WITH {EV_SQL} SELECT id, coalesce(sentiment, CASE WHEN likes > 50 THEN 1 ELSE 0 END) AS sentiment FROM ev""",

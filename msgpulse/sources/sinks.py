@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from msgpulse.operators.dedup import first_per_key
+from msgpulse.sources import compaction
 from msgpulse.operators.filters import valid
 from msgpulse.operators.keyed import absent_from
 from msgpulse.schema import CSV_COLUMNS, MESSAGE_COLUMNS, MESSAGE_SCHEMA, in_order
@@ -85,6 +86,7 @@ def insert_if_absent(
     spark = batch.sparkSession
     gate, written = Observation(), Observation()
     create_if_absent(spark, path)
+    compaction.recover(spark, path)  # a compaction stopped halfway is finished or dropped first
     fresh = new_rows(valid(batch.select(*MESSAGE_COLUMNS), gate), read_messages(spark, path), keys, id_range)
     # A stage that turns out empty is otherwise replaced at run time, its counters with it.
     # Inside a stream's batch function adaptive execution is off unless asked for.
