@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from msgpulse.functions.text import cashtags
 from msgpulse.operators import aggregates, keyed
 from msgpulse.operators.markers import FORWARD, beyond_cursor, ticker_markers
-from msgpulse.plans.catalogue import query
+from msgpulse.plans.catalogue import SQL, query
 from msgpulse.plans.inputs import EV_COLUMNS_SQL, EV_SQL, FIRST_MINUTE, event_messages, letter, messages_of_events, table
 from msgpulse.schema import CSV_COLUMNS, RECORD_COLUMNS
 from msgpulse.session import materialise, scratch_path
@@ -150,6 +150,40 @@ def rejected_payloads(spark, sf):
     return read.unionByName(bad.select("record", F.lit(True).alias("rejected")))
 
 
+def _land_cut_short(spark, sf):
+    """Stocktwits payload lines of the events; every seventh is cut short."""
+    path = scratch_path(spark, "payloads")
+    record = F.concat(
+        F.lit('{"ticker":"'), letter(F.col("user_id")), F.lit('","messages":[{"id":'), F.col("event_id").cast("string")
+    )
+    whole = F.concat(record, F.lit("}]}"))
+    table(spark, sf, "events").select(F.when(F.col("event_id") % 7 == 0, record).otherwise(whole)).write.text(path)
+    return path
+
+
+def _as_records(payloads):
+    return payloads.select("ticker", F.explode("messages.id").alias("id")).select(
+        F.concat(F.lit('{"ticker":"'), "ticker", F.lit('","messages":[{"id":'), F.col("id").cast("string"), F.lit("}]}")).alias("record"),
+        F.lit(False).alias("rejected"),
+    )
+
+
+@query("s8_rejects_stream", SQL["s8_rejected_payloads"])
+def rejects_stream(spark, sf):
+    """The same lines as a stream: readable ones and rejects leave one micro-batch by two sinks."""
+    out = scratch_path(spark, "landed-stream")
+
+    def good(payloads, batch_id):
+        payloads.write.mode("overwrite").parquet(f"{out}/good/_batch={batch_id}")  # a replay overwrites itself
+        return {}
+
+    lines = adapters.landing_and_rejects(spark, "stocktwits", _land_cut_short(spark, sf), files_per_trigger=4)
+    feeds.ingest_with_rejects(lines, good, f"{out}/rejects", f"{out}/at", drain=True).awaitTermination()
+    payloads = spark.read.schema(f"{adapters.PAYLOADS['stocktwits']}, _batch BIGINT").parquet(f"{out}/good")
+    bad = spark.read.schema("file STRING, record STRING, _batch BIGINT").parquet(f"{out}/rejects")
+    return _as_records(payloads).unionByName(bad.select("record", F.lit(True).alias("rejected")))
+
+
 @query("p2_strict_labels", _stocktwits_sql("0", "0"))
 def strict_labels(spark, sf):
     """The compatibility decoding: only an explicit null is unlabelled."""

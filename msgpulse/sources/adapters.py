@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from msgpulse.functions.labels import decode_label, decode_label_strict
@@ -50,18 +50,43 @@ def landed(spark: SparkSession, payload: str, path: str) -> DataFrame:
     return spark.read.schema(PAYLOADS[payload]).json(path)
 
 
+def _parsed(lines: DataFrame, payload: str) -> DataFrame:
+    """``value`` lines with ``file`` as ``payload`` (null if unreadable), ``file``, ``record``, ``bad``."""
+    schema = f"{PAYLOADS[payload]}, _corrupt_record STRING"
+    read = lines.where(F.length(F.trim("value")) > 0).withColumn(
+        "payload", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    )
+    bad = F.col("payload").isNull() | F.col("payload._corrupt_record").isNotNull()
+    return read.select("payload", "file", F.col("value").alias("record"), bad.alias("bad"))
+
+
 def landed_and_rejects(spark: SparkSession, payload: str, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Payloads that could be read, and the (file, record) of those that could not.
 
     ``multi_line`` takes a whole file as one payload, as pretty-printed ones are.
     """
     text = spark.read.text(path, wholetext=multi_line).select("value", F.col("_metadata.file_path").alias("file"))
-    schema = f"{PAYLOADS[payload]}, _corrupt_record STRING"
-    read = text.where(F.length(F.trim("value")) > 0).withColumn(
-        "payload", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    read = _parsed(text, payload)
+    return read.where(~F.col("bad")).select("payload.*").drop("_corrupt_record"), read.where("bad").select("file", "record")
+
+
+def counted_landed(spark: SparkSession, payload: str, path: str, counts: Observation) -> DataFrame:
+    """``landed`` that counts what it cannot read: ``counts`` gets ``lines`` and ``rejected``
+    once the frame has run (lines cut short or not JSON); the frame holds the readable payloads."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    read = _parsed(text, payload).observe(
+        counts, F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("rejected")
     )
-    bad = F.col("payload").isNull() | F.col("payload._corrupt_record").isNotNull()
-    return read.where(~bad).select("payload.*").drop("_corrupt_record"), read.where(bad).select("file", F.col("value").alias("record"))
+    return read.where(~F.col("bad")).select("payload.*").drop("_corrupt_record")
+
+
+def landing_and_rejects(spark: SparkSession, payload: str, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Landed lines as one stream: ``payload``, ``file``, ``record`` and ``bad`` per line.
+
+    ``streaming.feeds.ingest_with_rejects`` sends both kinds on from one micro-batch.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return _parsed(lines.select("value", F.col("_metadata.file_path").alias("file")), payload)
 
 
 def landing(spark: SparkSession, payload: str, path: str, files_per_trigger: int = 1000) -> DataFrame:

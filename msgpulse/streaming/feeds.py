@@ -56,6 +56,35 @@ def ingest(
     return _started(messages, sink, checkpoint, "append", drain)
 
 
+def ingest_with_rejects(
+    lines: DataFrame,
+    good: Callable[[DataFrame, int], dict],
+    rejects: str,
+    checkpoint: str,
+    on_result: Callable[[int, dict], None] | None = None,
+    drain: bool = False,
+) -> StreamingQuery:
+    """One stream of landed lines, two sinks in one micro-batch.
+
+    ``lines`` is ``adapters.landing_and_rejects``. Readable payloads go to ``good(payloads,
+    batch_id)``, which must be replay-safe itself (``insert_if_absent`` is, by key); unreadable
+    lines are written to ``rejects/_batch=<id>``, which a replayed batch overwrites, so a
+    reject is stored once. ``on_result`` gets the good sink's counts with ``rejected`` added.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        # Stored once in the shared folder: both sinks read it, a lost executor loses nothing.
+        batch = materialise(batch, "landed-lines")
+        bad = batch.where("bad").select("file", "record")
+        bad.write.mode("overwrite").parquet(f"{rejects}/_batch={batch_id}")
+        result = good(batch.where(~F.col("bad")).select("payload.*").drop("_corrupt_record"), batch_id) or {}
+        result = {**result, "rejected": bad.count()}
+        if on_result is not None:
+            on_result(batch_id, result)
+
+    return _started(lines, sink, checkpoint, "append", drain)
+
+
 def running_markers(messages: DataFrame) -> DataFrame:
     """Oldest / newest per ticker as running state, one row per ticker."""
     return marker_state(messages)
