@@ -11,10 +11,11 @@ common ends slice both id lists into groups, and every A token of a group is lin
 token of it. Links are kept per text as distinct (A id, B id) pairs with their multiplicity, so a
 long group of repeated ids costs its distinct pairs, not the product of its lengths.
 
-In Spark: one Python pass per batch of texts (stored once), the links exploded and stored, one
-aggregate for the count of each id pair (documents that hold it), one for each A id's highest
-count, and a join of the links with those counts, which AQE may split where one pair is in most
-documents because both of its sides are stored scans. Per text, sums go back by a row key, so
+In Spark: one Python pass per batch of texts (Arrow batches in and out, stored once), the links
+exploded from it, one aggregate for the count of each id pair (documents that hold it), one for
+each A id's highest count, and a sort-merge join of the links with those counts (never a
+broadcast: the pairs grow with the corpus), which AQE may split where one pair is in most
+documents because a shuffle stands directly below both sides. Per text, sums go back by a row key, so
 repeated and missing ids are separate documents.
 
 Odd rows: a null or empty text, or one whose bytes do not join, has zeros and ``groups_sha256``
@@ -28,7 +29,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,27 +83,34 @@ def sides(a_path: str, b_path: str) -> Sides:
     return _sides[key]
 
 
-def _distinct(groups: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (group, id) of one side, sorted by group, with their counts."""
-    keys, counts = np.unique((groups << SHIFT) | np.asarray(ids, dtype=np.int64), return_counts=True)
+    keys, counts = np.unique((groups << SHIFT) | ids, return_counts=True)
     return keys >> SHIFT, keys & ((1 << SHIFT) - 1), counts
 
 
+#: Decimal text of every id, and the separators of the written groups.
+_TEXT = np.array([str(i) for i in range(1 << SHIFT)], dtype=object)
+_SEPS = np.array([",", "|", ";"], dtype=object)
+
+
 def align(a_ids: list[int], b_ids: list[int], a_len: np.ndarray, b_len: np.ndarray) -> dict:
     """Groups and distinct links of two id lists over the same bytes."""
-    ends_a = np.cumsum(a_len[a_ids]).tolist()
-    ends_b = np.cumsum(b_len[b_ids]).tolist()
-    at_a = dict(zip(ends_a, range(len(ends_a))))
-    at_b = dict(zip(ends_b, range(len(ends_b))))
-    common = np.array(sorted(at_a.keys() & at_b.keys()), dtype=np.int64)
+    a, b = np.asarray(a_ids, dtype=np.int64), np.asarray(b_ids, dtype=np.int64)
+    ends_a, ends_b = np.cumsum(a_len[a]), np.cumsum(b_len[b])
+    at_a = dict(zip(ends_a.tolist(), range(len(a))))
+    at_b = dict(zip(ends_b.tolist(), range(len(b))))
+    common = sorted(at_a.keys() & at_b.keys())
     g = len(common)
-    # The group of a token is the first common end at or after its own end.
-    ga = np.searchsorted(common, np.asarray(ends_a, dtype=np.int64))
-    gb = np.searchsorted(common, np.asarray(ends_b, dtype=np.int64))
-    n_links = int((np.bincount(ga, minlength=g) * np.bincount(gb, minlength=g)).sum())
+    # The dictionaries give the last token of each group on both sides; the groups are the slices between.
+    last_a = np.fromiter(map(at_a.__getitem__, common), np.int64, g)
+    last_b = np.fromiter(map(at_b.__getitem__, common), np.int64, g)
+    size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    ga, gb = np.repeat(np.arange(g), size_a), np.repeat(np.arange(g), size_b)
+    n_links = int((size_a * size_b).sum())
     # Every distinct A id of a group meets every distinct B id of it.
-    group_a, id_a, count_a = _distinct(ga, a_ids)
-    group_b, id_b, count_b = _distinct(gb, b_ids)
+    group_a, id_a, count_a = _distinct(ga, a)
+    group_b, id_b, count_b = _distinct(gb, b)
     per_group = np.bincount(group_b, minlength=g)
     first_b = np.cumsum(per_group) - per_group
     reps = per_group[group_a]
@@ -113,17 +121,18 @@ def align(a_ids: list[int], b_ids: list[int], a_len: np.ndarray, b_len: np.ndarr
     pairs, where = np.unique(codes, return_inverse=True)
     many = np.bincount(where, weights=np.repeat(count_a, reps) * count_b[at], minlength=len(pairs))
     # groups_sha256: ids of each group, A before B, groups in order.
-    side = np.concatenate([np.zeros(len(a_ids), np.int8), np.ones(len(b_ids), np.int8)])
+    side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
     group = np.concatenate([ga, gb])
     order = np.lexsort((side, group))
-    ids = np.concatenate([np.asarray(a_ids, dtype=np.int64), np.asarray(b_ids, dtype=np.int64)])[order]
     side, group = side[order], group[order]
     last_of_side = np.append((side[1:] != side[:-1]) | (group[1:] != group[:-1]), True)
-    seps = np.where(last_of_side, np.where(side == 0, "|", ";"), ",")
-    written = "".join(map("".join, zip(map(str, ids.tolist()), seps.tolist())))[:-1]
+    parts = np.empty(2 * len(order), dtype=object)
+    parts[0::2] = _TEXT[np.concatenate([a, b])[order]]
+    parts[1::2] = _SEPS[np.where(last_of_side, 1 + side, 0)]
+    written = "".join(parts.tolist())[:-1]
     return {
-        "n_a": len(a_ids),
-        "n_b": len(b_ids),
+        "n_a": len(a),
+        "n_b": len(b),
         "n_groups": g,
         "n_links": n_links,
         "groups_sha256": hashlib.sha256(written.encode()).hexdigest() if g else "",
@@ -133,12 +142,11 @@ def align(a_ids: list[int], b_ids: list[int], a_len: np.ndarray, b_len: np.ndarr
     }
 
 
-_NONE = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
-
 ALIGNED = (
     "_row BIGINT, doc_id BIGINT, n_a BIGINT, n_b BIGINT, n_groups BIGINT, n_links BIGINT, groups_sha256 STRING, "
     "pair_a ARRAY<INT>, pair_b ARRAY<INT>, pair_n ARRAY<BIGINT>"
 )
+_COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -153,22 +161,29 @@ def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(lengths)
 
 
+def _listed(parts: list[np.ndarray], kind) -> pa.ListArray:
+    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) for p in parts], out=offsets[1:])
+    values = np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def aligned_texts(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = 1 << 20) -> DataFrame:
     """One row per document with its groups and distinct links, from one Python pass."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(a_path, b_path)
         encode = getattr(both.a, "encode_batch_fast", both.a.encode_batch)
         empty = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch.column("text").to_pylist()
             # Slices of at most ``slice_bytes`` of text: the tokenizers hold one slice at a time.
-            for lo, hi in _slices([len(t) if isinstance(t, str) else 0 for t in texts], slice_bytes):
+            for lo, hi in _slices([len(t) if t else 0 for t in texts], slice_bytes):
                 part = texts[lo:hi]
-                live = [k for k, t in enumerate(part) if isinstance(t, str) and t]
+                live = [k for k, t in enumerate(part) if t]
                 a_all = encode([" " + part[k] for k in live], add_special_tokens=False) if live else []
                 b_all = both.b.encode([part[k] for k in live]) if live else []
-                found = [None] * len(part)
+                found: list[dict | None] = [None] * len(part)
                 for k, a_enc, b_ids in zip(live, a_all, b_all):
                     a_ids = a_enc.ids
                     target = (" " + part[k]).encode()
@@ -178,18 +193,19 @@ def aligned_texts(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int =
                     ):
                         found[k] = align(a_ids, b_ids, both.a_len, both.b_len)
                 del a_all, b_all
-                rows = [
-                    f if f is not None else _NONE | {"pair_a": empty, "pair_b": empty, "pair_n": empty} for f in found
-                ]
-                out = pd.DataFrame(
-                    rows, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair_a", "pair_b", "pair_n"]
-                )
-                out.insert(0, "doc_id", batch["doc_id"].iloc[lo:hi].astype("Int64").to_numpy())
-                out.insert(0, "_row", batch["_row"].iloc[lo:hi].to_numpy())
-                yield out
+                columns = {
+                    "_row": batch.column("_row").slice(lo, hi - lo),
+                    "doc_id": batch.column("doc_id").slice(lo, hi - lo),
+                }
+                for name in _COUNTS:
+                    columns[name] = pa.array([f[name] if f else 0 for f in found], pa.int64())
+                columns["groups_sha256"] = pa.array([f["groups_sha256"] if f else "" for f in found], pa.string())
+                for name, kind in (("pair_a", np.int32), ("pair_b", np.int32), ("pair_n", np.int64)):
+                    columns[name] = _listed([f[name] if f else empty for f in found], kind)
+                yield pa.RecordBatch.from_pydict(columns)
 
     keyed = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint"), "text")
-    return keyed.mapInPandas(run, ALIGNED)
+    return keyed.mapInArrow(run, ALIGNED)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -199,11 +215,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     included); ``count_sum`` sums the pair counts over the links; both count every occurrence pair.
     """
     texts = stored(aligned_texts(docs, a_path, b_path), "align-texts")
-    links = stored(
-        texts.select("_row", F.explode(F.arrays_zip("pair_a", "pair_b", "pair_n")).alias("p")).select(
-            "_row", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"), F.col("p.pair_n").alias("m")
-        ),
-        "align-links",
+    # Exploded where used, from the stored texts: cheaper than writing the links once more.
+    links = texts.select("_row", F.explode(F.arrays_zip("pair_a", "pair_b", "pair_n")).alias("p")).select(
+        "_row", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"), F.col("p.pair_n").alias("m")
     )
     counts = links.groupBy("a", "b").agg(F.count("*").alias("documents"))
     best = counts.groupBy("a").agg(F.max("documents").alias("top"))
@@ -211,8 +225,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         counts.join(best, "a").select("a", "b", "documents", (F.col("documents") == F.col("top")).alias("best")),
         "align-pairs",
     )
+    # The pairs grow with the corpus and have no size bound: a shuffle join at every size.
     per_text = (
-        links.join(pairs, ["a", "b"])
+        links.join(pairs.hint("merge"), ["a", "b"])
         .groupBy("_row")
         .agg(
             F.sum(F.col("m") * F.col("documents")).alias("count_sum"),
