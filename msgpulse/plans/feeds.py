@@ -408,6 +408,20 @@ def running_markers(spark, sf):
     return feeds.latest_markers(spark.read.parquet(f"{out}/versions"))
 
 
+@query("r3_markers_from_state", _ALL_MARKERS_SQL)
+def markers_from_state(spark, sf):
+    """The events landed as nine files, one a round; markers read from the stream's state."""
+    out = scratch_path(spark, "state-markers")
+    events = table(spark, sf, "events")
+    events.repartition(9).write.parquet(f"{out}/landed")
+    landed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+    query_ = feeds.track_markers(messages_of_events(landed), f"{out}/at", drain=True)
+    query_.awaitTermination()
+    if len([p for p in query_.recentProgress if p["numInputRows"]]) < min(9, events.count()):
+        raise RuntimeError("fewer rounds than files")
+    return feeds.markers_from_state(spark, f"{out}/at")
+
+
 @query("r4_resumed_ingest", f"WITH {EV_SQL} SELECT {EV_COLUMNS_SQL} FROM ev")
 def resumed_ingest(spark, sf):
     """A stream that stops and resumes from its checkpoint after more files have landed."""

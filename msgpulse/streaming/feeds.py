@@ -6,11 +6,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from msgpulse.functions.times import hour_label
 from msgpulse.operators.filters import labelled
-from msgpulse.operators.markers import marker_state
+from msgpulse.operators.markers import _RESULT, marker_state
 from msgpulse.session import materialise
 from msgpulse.sources.sinks import STORE_KEYS, insert_if_absent
 
@@ -102,6 +103,32 @@ def keep_latest(state: DataFrame, path: str, checkpoint: str, drain: bool = Fals
     return _started(state, sink, checkpoint, "update", drain)
 
 
+def track_markers(messages: DataFrame, checkpoint: str, drain: bool = False) -> StreamingQuery:
+    """Keep the running markers only as the stream's state; rounds write no output.
+
+    Read them with ``markers_from_state`` at any time between rounds.
+    """
+    writer = marker_state(messages).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    if drain:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def markers_from_state(spark, checkpoint: str) -> DataFrame:
+    """The running markers as the state store holds them after the last committed round.
+
+    Spark's state data source reads the aggregation's state of the latest batch: the key is the
+    ticker, the value the aggregate's buffers in order (count, least oldest-marker, least
+    newest-marker). One row per ticker, as many tasks as state partitions; no folder per round.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    buffers = state.schema["value"].dataType.fields
+    # Both minima are named ``min``: a cast to a struct of new names renames them by position.
+    named = T.StructType([T.StructField(name, f.dataType, f.nullable) for name, f in zip(("n", "oldest", "newest"), buffers)])
+    flat = state.select("key.ticker", F.col("value").cast(named).alias("v")).select("ticker", "v.*")
+    return flat.selectExpr("ticker", *_RESULT, "n")
+
+
 def latest_markers(versions: DataFrame) -> DataFrame:
     """The most recent state of every ticker among the written versions."""
     newest = F.max_by(F.struct("oldest_id", "oldest_at", "newest_id", "newest_at", "n"), "_batch")
