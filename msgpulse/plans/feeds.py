@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from msgpulse.functions.text import cashtags
 from msgpulse.operators import aggregates, keyed
+from msgpulse.operators.filters import labelled
 from msgpulse.operators.markers import FORWARD, beyond_cursor, ticker_markers
 from msgpulse.plans.catalogue import SQL, query
 from msgpulse.plans.inputs import EV_COLUMNS_SQL, EV_SQL, FIRST_MINUTE, event_messages, letter, messages_of_events, table
@@ -465,6 +466,43 @@ def live_hourly_sentiment(spark, sf):
     return spark.read.parquet(f"{out}/rows").withColumn("bullish_ratio", F.round("bullish_ratio", 6))
 
 
+@query(
+    "r5_window_accounting",
+    f"""WITH {EV_SQL},
+    lab AS (SELECT created_at, CASE WHEN created_at >= TIMESTAMP '2024-01-15' THEN 0
+                                    WHEN created_at >= TIMESTAMP '2024-01-08' THEN 1 ELSE 2 END AS round
+            FROM ev WHERE sentiment <> -69),
+    mark AS (SELECT max(created_at) - INTERVAL 1 HOUR AS wm FROM lab WHERE round = 0),
+    seen AS (SELECT created_at, round = 2 AND created_at <= wm AS late, wm FROM lab, mark)
+    SELECT count(*) FILTER (WHERE NOT late AND date_trunc('hour', created_at) + INTERVAL 1 HOUR <= wm)::BIGINT AS emitted,
+           count(*) FILTER (WHERE NOT late AND date_trunc('hour', created_at) + INTERVAL 1 HOUR > wm)::BIGINT AS open,
+           count(*) FILTER (WHERE late)::BIGINT AS late, count(*)::BIGINT AS input
+    FROM seen""",
+)
+def window_accounting(spark, sf):
+    """The month lands newest part first, one part a round: emitted, open and late rows add up.
+
+    Spark drops a row as late by the watermark of the round before (round 1 still closes the
+    middle part's windows and emits them); the oldest part, in round 2, is late.
+    """
+    out = scratch_path(spark, "accounted")
+    events = table(spark, sf, "events")
+    parts = (("a", "ts >= '2024-01-15'"), ("b", "ts >= '2024-01-08' AND ts < '2024-01-15'"), ("c", "ts < '2024-01-08'"))
+    for name, part in parts:
+        events.where(part).coalesce(1).write.parquet(f"{out}/landed/{name}")
+    landed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed/*")
+    windows = feeds.live_sentiment(messages_of_events(landed))
+    started = windows.writeStream.format("parquet").option("checkpointLocation", f"{out}/at").option("path", f"{out}/rows")
+    running = started.trigger(availableNow=True).start()
+    running.awaitTermination()
+    counts = feeds.window_accounting(spark, running, f"{out}/rows", f"{out}/at")
+    read = labelled(messages_of_events(events)).count()
+    late = read - counts["emitted"] - counts["open"]
+    if late < counts["late_groups"] or (late > 0) != (counts["late_groups"] > 0):
+        raise RuntimeError(f"rows unaccounted for: {counts} of {read}")
+    return spark.createDataFrame([(counts["emitted"], counts["open"], late, read)], "emitted BIGINT, open BIGINT, late BIGINT, input BIGINT")
+
+
 @query(
     "r5_back_filled_hourly",
     f"""WITH {EV_SQL} SELECT ticker, date_trunc('hour', created_at) AS hour,

@@ -145,6 +145,30 @@ def live_sentiment(messages: DataFrame, width: str = "1 hour", late_by: str = "1
     return _windowed(messages.withWatermark("created_at", late_by), width)
 
 
+def window_accounting(spark, query: StreamingQuery, rows: str, checkpoint: str) -> dict:
+    """Where every input row of a finished ``live_sentiment`` stream went.
+
+    ``emitted``: rows in windows the watermark closed and the sink holds (sum of their ``n``);
+    ``open``: rows in windows still in the state store (read with the state data source);
+    ``late_groups``: what the watermark dropped, from the query's progress; Spark counts the
+    stateful operator's input there, which is partial aggregates (one per task, ticker and
+    window), so the late rows are the labelled input less ``emitted`` and ``open``, and at least
+    ``late_groups``. Progress is kept for the last
+    ``spark.sql.streaming.numRecentProgressUpdates`` rounds; if earlier rounds are gone this
+    refuses rather than undercount.
+    """
+    progress = query.recentProgress
+    if progress and progress[0]["batchId"] != 0:
+        raise RuntimeError("the progress of early rounds is no longer held; raise numRecentProgressUpdates")
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p["stateOperators"])
+    emitted = spark.read.parquet(rows).agg(F.sum("n")).first()[0] or 0
+    state = spark.read.format("statestore").load(checkpoint)
+    buffers = state.schema["value"].dataType.fields
+    named = T.StructType([T.StructField(name, f.dataType, f.nullable) for name, f in zip(("sum", "count", "n"), buffers)])
+    still = state.select(F.col("value").cast(named).alias("v")).agg(F.sum("v.n")).first()[0] or 0
+    return {"emitted": int(emitted), "open": int(still), "late_groups": int(late)}
+
+
 def back_filled_sentiment(messages: DataFrame, width: str = "1 hour") -> DataFrame:
     """The same without a watermark, for update or complete mode; no row is late."""
     return _windowed(messages, width)
