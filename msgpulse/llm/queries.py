@@ -179,7 +179,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizations of every document, with corpus-wide pair counts."""
     return alignment.aligned(
-        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+        table(spark, sf_dir, "documents"),
+        vocabulary("byte_bpe_50k.json"),
+        vocabulary("piece_bpe_32k.model"),
+        a_ranks=vocabulary("byte_bpe_50k.tiktoken"),
     )
 
 

@@ -88,6 +88,19 @@ def test_alignment_equals_a_plain_walk(spark):
     assert got[-1][0] is None  # the row without an id has its own row
 
 
+def test_ranks_give_the_ids_of_the_tokenizers_file(spark):
+    """The query encodes A with the same vocabulary as tiktoken ranks: the same rows come out."""
+    df = spark.createDataFrame(TEXTS, "doc_id BIGINT, text STRING").repartition(2)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    fast = alignment.aligned(df, A, B, a_ranks=ranks).toPandas().sort_values(["doc_id", "groups_sha256"]).reset_index(drop=True)
+    plain = alignment.aligned(df, A, B).toPandas().sort_values(["doc_id", "groups_sha256"]).reset_index(drop=True)
+    assert fast.equals(plain)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toPandas()["text"]
+    both = alignment.sides(A, B, ranks)
+    texts = [" " + t for t in docs if t]
+    assert both.encode(texts) == [e.ids for e in both.a.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_alignment_of_an_empty_table_and_extra_columns(spark):
     assert alignment.aligned(spark.createDataFrame([], "doc_id BIGINT, text STRING"), A, B).count() == 0
     df = spark.createDataFrame([(1, "a b", "x", 5)], "doc_id BIGINT, text STRING, _row STRING, n_a INT")
