@@ -59,8 +59,8 @@ def frame(doc_id: int | None, ids: bytes) -> bytes:
     return length + _CHECK.pack(masked(zlib.crc32(length))) + payload + _CHECK.pack(masked(zlib.crc32(payload)))
 
 
-def frames(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length with the line feed, payload) of every record, checked."""
+def frames(content) -> Iterator[tuple[int, int, memoryview]]:
+    """(offset, length with the line feed, payload view) of every record, both checksums verified."""
     at, view = 0, memoryview(content)
     while at < len(view):
         begin = at + _LENGTH.size + _CHECK.size
@@ -70,7 +70,25 @@ def frames(content: bytes) -> Iterator[tuple[int, int, bytes]]:
         end = begin + _LENGTH.unpack(head)[0]
         if end + _CHECK.size + 1 > len(view) or masked(zlib.crc32(view[begin:end])) != _CHECK.unpack_from(view, end)[0]:
             raise Damaged(f"record at {at}")
-        yield at, end + _CHECK.size + 1 - at, bytes(view[begin:end])
+        yield at, end + _CHECK.size + 1 - at, view[begin:end]
+        at = end + _CHECK.size + 1
+
+
+def hops(content) -> Iterator[tuple[int, int, memoryview]]:
+    """(offset, length with the line feed, payload view) of every record, from length to length.
+
+    Each length is verified by its own checksum and each record must end in the file with its
+    line feed; payloads are not read here (``read`` verifies them).
+    """
+    at, view = 0, memoryview(content)
+    while at < len(view):
+        begin = at + _LENGTH.size + _CHECK.size
+        if begin > len(view) or masked(zlib.crc32(view[at : at + _LENGTH.size])) != _CHECK.unpack_from(view, at + _LENGTH.size)[0]:
+            raise Damaged(f"length at {at}")
+        end = begin + _LENGTH.unpack_from(view, at)[0]
+        if end + _CHECK.size + 1 > len(view) or view[end + _CHECK.size] != 0x0A:
+            raise Damaged(f"record at {at}")
+        yield at, end + _CHECK.size + 1 - at, view[begin:end]
         at = end + _CHECK.size + 1
 
 
@@ -84,7 +102,7 @@ def opened(payload: bytes) -> tuple[int | None, bytes]:
 def indexed(file: str, content: bytes) -> pa.RecordBatch:
     """Index rows of one file."""
     rows = []
-    for place, (at, length, payload) in enumerate(frames(content)):
+    for place, (at, length, payload) in enumerate(hops(content)):
         flags, doc_id = _HEAD.unpack_from(payload)
         tokens = (len(payload) - _HEAD.size) // (4 if flags & _WIDE else 2)
         rows.append((file, place, doc_id if flags & _HAS_ID else None, at, length, tokens))

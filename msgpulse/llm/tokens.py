@@ -11,7 +11,8 @@ it met and asks the tokenizer only for new ones. The cuts made are those no toke
 
 A new word of Latin letters with punctuation behind it needs no normalising, so its pieces go
 straight to the tokenizer's merge model; anything else takes the full way through the tokenizer.
-Special-token strings in a text are ordinary text.
+Special-token strings in a text are the tokenizer's special tokens, as its defaults have them
+(``add_special_tokens=False`` only keeps it from adding any).
 """
 
 from __future__ import annotations
@@ -60,7 +61,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
         self._drops = spaces == "drops"
         self._cut = {"drops": self._dropped, "leads": self._led}[spaces]

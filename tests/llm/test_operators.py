@@ -56,7 +56,6 @@ def whole_ids(name, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary(name))
-    tokenizer.encode_special_tokens = True
     return [found.ids for found in tokenizer.encode_batch([text or "" for text in texts], add_special_tokens=False)]
 
 
@@ -64,7 +63,12 @@ def whole_ids(name, texts):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(list("ab \n\t'1é.!\x1cΣß€日") + ["the", " of", "\n\n", "'s", "́"]), max_size=40).map("".join))
+@given(
+    st.lists(
+        st.sampled_from(list("ab \n\t'1é.!\x1cΣß€日<|>") + ["the", " of", "\n\n", "'s", "́", "<|endoftext|>", "<|startoftext|>"]),
+        max_size=40,
+    ).map("".join)
+)
 @pytest.mark.parametrize("name,spaces", [("word_bpe_49k.json", "drops"), ("byte_bpe_50k.json", "leads")])
 def test_cached_words_give_the_ids_of_the_whole_text(name, spaces, text):
     key = (name, spaces)
@@ -453,6 +457,19 @@ def test_frames_hold_and_notice_damage(key, values, at):
         list(records.frames(content[:-1]))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=20), min_size=1, max_size=5), st.integers(0, 11))
+def test_hops_follow_the_lengths_and_notice_damage_to_them(lists, at):
+    content = b"".join(records.frame(k, np.array(v, "<u4").tobytes()) + b"\n" for k, v in enumerate(lists))
+    hopped = [(o, n, bytes(p)) for o, n, p in records.hops(content)]
+    assert hopped == [(o, n, bytes(p)) for o, n, p in records.frames(content)]
+    damaged = content[:at] + bytes([content[at] ^ 1]) + content[at + 1 :]  # the first length or its checksum
+    with pytest.raises(records.Damaged):
+        list(records.hops(damaged))
+    with pytest.raises(records.Damaged):
+        list(records.hops(content[:-1]))
+
+
 # --- top k
 
 
