@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from msgpulse.functions.hashing import surrogate_id
 from msgpulse.functions.labels import mean_score, remap_legacy, sentiment_of_mean, sentiment_of_pair, softmax_pair
 from msgpulse.functions.text import UNICODE_SPACE, contains_any, strip_urls, tokens
-from msgpulse.operators import aggregates, combine, dedup, filters, keyed, ranking
+from msgpulse.operators import aggregates, combine, dedup, filters, keyed, phrases, ranking
 from msgpulse.plans.catalogue import query
 from msgpulse.plans.inputs import (
     DOC_SQL,
@@ -373,6 +373,12 @@ def phrase_matches(spark, sf):
     return filters.matching_phrases(document_messages(spark, sf), PHRASES).select("id")
 
 
+@query("f6_phrase_index", f"WITH {DOC_SQL} SELECT id FROM doc WHERE {_PHRASE_SQL}")
+def phrase_index(spark, sf):
+    """The same phrases through the index of character runs."""
+    return phrases.matching(document_messages(spark, sf), PHRASES).select("id")
+
+
 @query(
     "f6_shipped_lexicon",
     f"""WITH {DOC_SQL}, seen AS (SELECT id, lower(body || CASE WHEN likes % 3 = 0 THEN ' News Digest' ELSE '' END) AS b FROM doc)
@@ -387,6 +393,17 @@ def shipped_lexicon(spark, sf):
     return filters.matching_phrases(documents, SPAM_PHRASES, ignore_case=True).select("id")
 
 
+@query("f6_shipped_index", f"""WITH {DOC_SQL}, seen AS (SELECT id, lower(body || CASE WHEN likes % 3 = 0 THEN ' News Digest' ELSE '' END) AS b FROM doc)
+        SELECT id FROM seen WHERE contains(b, 'news digest') OR contains(b, 'trade alerts') OR contains(b, 'follow for')""")
+def shipped_index(spark, sf):
+    """The shipped phrases through the index of character runs, case-folded."""
+    from msgpulse.sources.lexicon import SPAM_PHRASES
+
+    tail = F.when(F.col("likes") % 3 == 0, F.lit(" News Digest")).otherwise(F.lit(""))
+    documents = document_messages(spark, sf).withColumn("body", F.concat("body", tail))
+    return phrases.matching(documents, SPAM_PHRASES, ignore_case=True).select("id")
+
+
 @query(
     "f7_ham_classes",
     f"WITH {DOC_SQL} SELECT id, sentiment FROM doc WHERE is_spam = 0 AND sentiment IN (0, 1)",
