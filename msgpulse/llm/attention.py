@@ -201,13 +201,19 @@ def held_out(doc_id, fold: int = 4, rest: int = 2):
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 4000, seed: int = 0) -> Model:
     """A model fit on at most ``max_train`` labelled documents outside the held-out fold."""
-    known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select(
-        "doc_id", F.col(label).alias("_label")
+    # The training ids first, from the labels alone: at most ``max_train`` rows, so the documents
+    # are filtered by a broadcast of a bounded table and no text is shuffled.
+    known = (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).alias("_label"))
+        .orderBy(F.xxhash64("doc_id", "_label"), "doc_id", "_label")
+        .limit(max_train)
     )
+    # Repeated documents under one id are bags each; the same bound holds for them.
     rows = (
-        docs.select("doc_id", "text")
-        .join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id", "text", "_label"), "doc_id")
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        .join(F.broadcast(known), "doc_id")
+        .orderBy(F.xxhash64("doc_id", "_label"), "doc_id", F.xxhash64("text"))
         .limit(max_train)
     )
 
