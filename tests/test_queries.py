@@ -1,4 +1,4 @@
-"""Every query with an SQL form equals it; the others run and have rows."""
+"""Every query has an SQL form and equals it."""
 
 import pytest
 
@@ -18,9 +18,8 @@ def test_equals_sql(spark, conn, sf, name):
     assert differences(spark, conn, plans.queries()[name], plans.oracle_sql()[name], sf) == ""
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in plans.oracle_sql()])
-def test_has_rows(spark, sf, name):
-    assert plans.queries()[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(NAMES) == set(plans.oracle_sql())
 
 
 def test_entry_points(spark):
