@@ -25,13 +25,21 @@ from pyspark.sql import functions as F
 from msgpulse.llm.components import components
 from msgpulse.llm.runs import groups
 from msgpulse.llm.scratch import stored
-from msgpulse.llm.shingles import Banding, banding_for, fingerprint, shingle_set
+from msgpulse.llm.shingles import Banding, banding_for, fingerprint, forget, shingle_set
 
 #: Load of a text in a block besides its shingles, which bounds the texts of a block.
 _ROW_LOAD = 200
 _STRIP = 512
 
 
+def _forgetting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; when they end, the worker's word hashes go."""
+    try:
+        yield from batches
+    finally:
+        forget()
+
+
 def _intersections(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     """Common shingles of the sets at ``rows`` with every set, by products of bit columns."""
     values = np.concatenate(sets)
@@ -151,6 +159,9 @@ def near_copies(
     limit = Fraction(str(similarity))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _forgetting(_sign(batches))
+
+    def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         banding = Banding(bands, rows)
         for batch in batches:
             sets = [shingle_set(text, width) for text in batch.column(1).to_pylist()]
@@ -165,6 +176,9 @@ def near_copies(
             )
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _forgetting(_full(batches))
+
+    def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         banding = Banding(bands, rows)
         for batch in batches:
             sets = [shingle_set(text, width) for text in batch.column(2).to_pylist()]

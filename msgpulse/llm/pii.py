@@ -315,8 +315,11 @@ def found_in(documents: DataFrame, keep: tuple[str, ...] = (), id_column: str =
     A missing text has no spans and stays missing when masked; an empty one has none; a missing id is kept;
     repeated rows are read one by one and alike; other columns are left out; an empty table gives no rows.
     """
-    kept = F.struct(*keep) if keep else F.lit(None).cast("struct<none:int>")
+    # The text goes into Python once: carried columns other than it ride in ``row``, and it comes back from its own column.
+    carried = [name for name in keep if name not in (text_column, "doc_id", "spans", "masked")]
+    kept = F.struct(*carried) if carried else F.lit(None).cast("struct<none:int>")
     rows = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), kept.alias("row"))
+    back = text_column in keep and text_column not in ("doc_id", "spans", "masked")
     model = trained()
     emit, move = model.emit, model.move
 
@@ -337,10 +340,16 @@ def found_in(documents: DataFrame, keep: tuple[str, ...] = (), id_column: str =
                         part.column(2),
                         pa.array(listed, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))),
                         pa.array(hidden, pa.string()),
-                    ],
-                    names=["doc_id", "row", "spans", "masked"],
+                    ]
+                    + ([part.column(1)] if back else []),
+                    names=["doc_id", "row", "spans", "masked"] + (["text"] if back else []),
                 )
 
     kind = rows.schema["row"].dataType.simpleString()
-    found = rows.mapInArrow(read, f"doc_id BIGINT, row {kind}, spans {SPANS}, masked STRING")
-    return found.select(*[F.col("row")[name].alias(name) for name in keep if name not in ("doc_id", "spans", "masked")], "doc_id", "spans", "masked")
+    found = rows.mapInArrow(read, f"doc_id BIGINT, row {kind}, spans {SPANS}, masked STRING" + (", text STRING" if back else ""))
+    return found.select(
+        *[(F.col("text") if name == text_column else F.col("row")[name]).alias(name) for name in keep if name not in ("doc_id", "spans", "masked")],
+        "doc_id",
+        "spans",
+        "masked",
+    )

@@ -26,6 +26,13 @@ def mixed_bits(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(33))
 
 
+def forget() -> None:
+    """Drop the word hashes kept by this worker; a task calls it when it ends, so that a reused
+    worker does not carry them into the next stage."""
+    global _hashes
+    _hashes = _WordHashes()
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``width`` words (runs without ASCII white space).
 

@@ -86,7 +86,7 @@ class _Classes(dict):
             else "other"
         )
         found = (_NUMBER[kind], weight or 3.0 * (kind == "threat"), raw[-1:] in _ENDS)
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[raw] = found
         return found
@@ -262,7 +262,9 @@ def scored(
     empty text has no clause and the lowest score; a missing id is not held out; repeated rows score
     alike; without labels of both classes the fixed lists alone decide; an empty table gives no rows.
     """
-    kept = F.struct(*keep) if keep else F.lit(None).cast("struct<none:int>")
+    # The text goes into Python once: carried columns other than it ride in ``row``, and it comes back from its own column.
+    carried = [name for name in keep if name not in (text_column, "doc_id")]
+    kept = F.struct(*carried) if carried else F.lit(None).cast("struct<none:int>")
     texts = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), kept.alias("row"))
     lexicon, weights = learned(texts.select("doc_id", "text"), labels, sample_limit, entries, least_odds)
     bias, strongest, whole = weights.tolist()
@@ -274,14 +276,16 @@ def scored(
                 1 / (1 + math.exp(-max(-60.0, min(60.0, bias + strongest * a + whole * b))))
                 for a, b in (features(text.as_py(), classes) for text in batch.column(1))
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(values, pa.float64())], names=["doc_id", "row", "score"]
-            )
+            out = [batch.column(0), batch.column(2), pa.array(values, pa.float64())] + ([batch.column(1)] if back else [])
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "row", "score"] + (["text"] if back else []))
 
-    schema = T.StructType([texts.schema["doc_id"], texts.schema["row"], T.StructField("score", T.DoubleType())])
+    back = text_column in keep
+    schema = T.StructType(
+        [texts.schema["doc_id"], texts.schema["row"], T.StructField("score", T.DoubleType())] + ([texts.schema["text"]] if back else [])
+    )
     found = texts.mapInArrow(score, schema)
     return found.select(
-        *[F.col("row")[name].alias(name) for name in keep if name != "doc_id"],
+        *[(F.col("text") if name == text_column else F.col("row")[name]).alias(name) for name in keep if name != "doc_id"],
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",

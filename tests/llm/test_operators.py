@@ -302,6 +302,11 @@ def test_toxicity_of_odd_rows(odd, nothing, labels):
     assert toxicity.scored(odd, labels.where("doc_id < 0")).count() == len(ODD)
 
 
+def test_toxicity_carries_text_once(odd, labels):
+    found = toxicity.scored(odd, labels, keep=("doc_id", "text", "source", "row")).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.source, r.row) for r in found) == sorted((r[0] or 0, r[1] or "", r[2], "r") for r in ODD)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     found = {r.doc_id: r for r in QUERIES["op4_toxicity"](spark, sf).collect()}
@@ -376,6 +381,12 @@ def test_personal_data_of_odd_rows(odd, nothing):
     assert pii.found_in(nothing).count() == 0
 
 
+def test_personal_data_carries_text_once(odd):
+    found = pii.found_in(odd, keep=("text", "source", "masked")).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.source) for r in found) == sorted((r[0] or 0, r[1] or "", r[2]) for r in ODD)
+    assert all((r.text is None) == (r.masked is None) for r in found)
+
+
 def test_personal_data_query(spark, sf):
     import hashlib
 
