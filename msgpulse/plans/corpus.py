@@ -376,7 +376,8 @@ def phrase_matches(spark, sf):
 @query("f6_phrase_index", f"WITH {DOC_SQL} SELECT id FROM doc WHERE {_PHRASE_SQL}")
 def phrase_index(spark, sf):
     """The same phrases through the index of character runs."""
-    return phrases.matching(document_messages(spark, sf), PHRASES).select("id")
+    # The labels grow with the documents: a shuffle join at every size.
+    return phrases.matching(document_messages(spark, sf, "merge"), PHRASES).select("id")
 
 
 @query(

@@ -114,9 +114,13 @@ LOG_SQL = """fetches AS (
     FROM events)"""
 
 
-def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as messages: quality is the label, toxic the spam flag, lang the ticker."""
+def document_messages(spark: SparkSession, sf_dir: str, strategy: str | None = None) -> DataFrame:
+    """Documents as messages: quality is the label, toxic the spam flag, lang the ticker.
+
+    ``strategy`` hints how the labels are joined; without it Spark decides by their size.
+    """
     labels = table(spark, sf_dir, "labels")
+    labels = labels.hint(strategy) if strategy else labels
     documents = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     return documents.selectExpr(
         "CAST(doc_id AS STRING) AS id",

@@ -87,7 +87,7 @@ def local_form(path: str) -> str:
     return os.path.abspath(path)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write a small derived relation once and read it back.
 
     This cuts lineage and, more to the point, gives the optimizer exact file
@@ -95,5 +95,5 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

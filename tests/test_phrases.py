@@ -60,3 +60,25 @@ def test_a_hundred_thousand_phrases(spark, messages):
     rows = messages.collect()
     plain = sorted((r.id, r.body) for r in rows if r.body is not None and next(automaton.iter(r.body), None) is not None)
     assert got == plain and len(got) > 0
+
+
+def test_characters_beyond_the_basic_plane(spark):
+    bodies = ["go 📈🚀 symbol: X", "📈", "🚀🚀🚀🚀🚀", "a\n📈🚀\nb", "👨‍👩‍👧 family", "x" * 9, None]
+    rows = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "id STRING, body STRING")
+    got, plain = both(rows.unionByName(rows), ["📈🚀 symbol:", "🚀🚀🚀🚀", "\n📈🚀\n", "👩‍👧 fam", "📈🚀x"])
+    assert got == plain and len(got) == 8
+
+
+def test_texts_do_not_travel_with_their_runs(spark, messages):
+    """A text of n characters has up to n runs: a shuffle that holds both is the square of the text."""
+
+    def joins(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            yield [{str(a.name()) for a in (c.output().apply(k) for k in range(c.output().size()))} for c in children]
+        for child in children:
+            yield from joins(child)
+
+    plan = phrases.matching(messages, ["free", "license"])._jdf.queryExecution().optimizedPlan()
+    by_run = [sides for sides in joins(plan) if any("run" in names for names in sides)]
+    assert by_run and not any({"_text", "body"} & names for sides in by_run for names in sides)
