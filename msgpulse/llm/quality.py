@@ -5,9 +5,10 @@ corpus. A document's score is the mean over its n-grams of log p_trusted - log p
 does not matter, and every document meets the same threshold. The n-grams are whole words and
 pairs of whole words, each hashed into one of ``buckets`` (32,768).
 
-Counting reduces inside each task to at most ``buckets`` rows. Trusted ids are a bounded sample
-of the labelled ones, so they are sent to every task; the raw counts cover every document. The
-weights, one number per bucket and so of fixed size, reach the tasks as one constant array.
+Counting reduces inside each task to at most ``buckets`` rows. Every document labelled of quality 1
+is trusted, however many there are: their ids meet the documents in a shuffle. The raw counts cover
+every document, without a join. The weights, one number per bucket and so of fixed size, reach the
+tasks as one constant array.
 """
 
 from __future__ import annotations
@@ -78,27 +79,32 @@ def _grams(before: Column, word: Column, buckets: int) -> list[Column]:
     return [F.pmod(hashed, F.lit(buckets)).cast("int") for hashed in (word, F.xxhash64(before, word, F.lit(2)))]
 
 
-def trusted_ids(labels: DataFrame, limit: int, id_column: str = "doc_id") -> DataFrame:
-    """At most ``limit`` ids of quality 1, those with the smallest digests."""
-    good = labels.where((F.col("quality") == 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("good_id"))
-    return good.distinct().orderBy(F.md5(F.col("good_id").cast("string").cast("binary")), "good_id").limit(limit)
+def trusted_ids(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Every id of quality 1, as often as it is labelled so."""
+    return labels.where((F.col("quality") == 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("good_id"))
+
+
+def _counted(texts: DataFrame, buckets: int, name: str) -> DataFrame:
+    """How often each bucket is met in these texts."""
+    return (
+        texts.select(F.transform(words(F.col("text")), lambda word: F.xxhash64(word)).alias("hashes"))
+        .select("hashes", F.explode(_positions(F.size("hashes"))).alias("i"))
+        .select(F.explode(F.array(*_grams(F.get("hashes", F.col("i") - 1), F.get("hashes", "i"), buckets))).alias("bucket"))
+        .groupBy("bucket")
+        .agg(F.count("*").alias(name))
+    )
 
 
 def ratios(documents: DataFrame, trusted: DataFrame, buckets: int, smoothing: float) -> Column:
     """Log p_trusted - log p_raw of each bucket, in order, as one constant array."""
     spark = documents.sparkSession
-    counted = (
-        documents.join(F.broadcast(trusted), F.col("doc_id") == F.col("good_id"), "left")
-        .select(F.col("good_id").isNotNull().cast("bigint").alias("good"), F.transform(words(F.col("text")), lambda word: F.xxhash64(word)).alias("hashes"))
-        .select("good", "hashes", F.explode(_positions(F.size("hashes"))).alias("i"))
-        .select("good", F.explode(F.array(*_grams(F.get("hashes", F.col("i") - 1), F.get("hashes", "i"), buckets))).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
-    )
+    # The labels grow with the documents: a shuffle join at every size. A semi join counts a document once.
+    good = documents.join(trusted.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi")
     counts = stored(
         spark.range(buckets)
         .select(F.col("id").cast("int").alias("bucket"))
-        .join(counted, "bucket", "left")
+        .join(_counted(documents, buckets, "raw"), "bucket", "left")
+        .join(_counted(good, buckets, "good"), "bucket", "left")
         .fillna(0, ["raw", "good"]),
         "ngrams",
     )
@@ -114,7 +120,6 @@ def judged(
     documents: DataFrame,
     labels: DataFrame,
     buckets: int = 1 << 15,
-    trusted_limit: int = 20_000,
     smoothing: float = 1.0,
     threshold: float = -0.3,
     min_words: int = 50,
@@ -123,15 +128,14 @@ def judged(
 ) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept``.
 
-    A missing text is an empty one: no words, score 0, base failed. Trusted are at most
-    ``trusted_limit`` labelled documents of quality 1; with none the score is 0 for every
-    document. Repeated rows are judged one by one and alike; a missing id is kept; further columns are
+    A missing text is an empty one: no words, score 0, base failed. Trusted are all labelled
+    documents of quality 1; with none the score is 0 for every document. Repeated rows are judged one by one and alike; a missing id is kept; further columns are
     left out; an empty table gives no rows.
     """
     texts = documents.select(
         F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
     )
-    weights = ratios(texts, trusted_ids(labels, trusted_limit), buckets, smoothing)
+    weights = ratios(texts, trusted_ids(labels), buckets, smoothing)
     text, found = F.col("text"), F.col("words")
     hashes = F.col("hashes")
     total = F.aggregate(

@@ -668,6 +668,16 @@ def test_quality_score_equals_plain_counts(spark):
         assert found[doc_id].kept == (not found[doc_id].base_failed and found[doc_id].score >= -0.3)
 
 
+def test_every_trusted_document_counts(spark):
+    """More trusted labels than any fixed number of ids that a sample would keep (it was 20,000)."""
+    texts = [(k, " ".join(f"w{k}x{j % 7}" for j in range(50 + k))) for k in range(1, 61)]
+    labels = spark.range(1, 30_001).selectExpr("id AS doc_id", "CAST(id % 4 > 0 OR id > 60 AS INT) AS quality", "0 AS toxic")
+    docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING").repartition(3)
+    found = {r.doc_id: r.score for r in quality.judged(docs, labels.unionByName(labels), buckets=1024).collect()}
+    for doc_id, score in plain_quality_scores(texts, {k for k in range(1, 61) if k % 4}, 1024).items():
+        assert abs(found[doc_id] - score) < 1e-4
+
+
 def test_quality_tells_labelled_documents_apart(spark):
     sf = "/root/testdata/sf0.01"
     found = {r.doc_id: r for r in QUERIES["op10_quality_rules"](spark, sf).collect()}
