@@ -5,9 +5,9 @@ model (B, which adds the space itself). Each token stands for bytes: A's entry d
 byte-level letters, B's piece in UTF-8 with U+2581 as a space and ``<0xHH>`` as byte HH. Where the
 bytes of neither side join to ``" " + text`` (normalising, unknown pieces) the text has no tokens.
 
-The method, per text: cumulative byte ends of both id lists go into end-to-index dictionaries;
-the intersection of their keys, sorted, holds the offsets where both sides end a token. These
-common ends slice both id lists into groups, and every A token of a group is linked with every B
+The method, per text: cumulative byte ends of both id lists go into end-to-index dictionaries
+(arrays with a place for each byte, as the keys are dense); the intersection of their keys, in
+order, holds the offsets where both sides end a token. These common ends slice both id lists into groups, and every A token of a group is linked with every B
 token of it. Links are kept per text as distinct (A id, B id) pairs with their multiplicity, so a
 long group of repeated ids costs its distinct pairs, not the product of its lengths.
 
@@ -111,17 +111,23 @@ _TEXT = np.array([str(i) for i in range(1 << SHIFT)], dtype=object)
 _SEPS = np.array([",", "|", ";"], dtype=object)
 
 
+def _by_end(ends: np.ndarray, size: int) -> np.ndarray:
+    """The end-to-index dictionary of one side: the token that ends at each byte, the last of several; -1 for none."""
+    found = np.full(size, -1, dtype=np.int32)
+    found[ends] = np.arange(len(ends), dtype=np.int32)
+    return found
+
+
 def align(a_ids: list[int], b_ids: list[int], a_len: np.ndarray, b_len: np.ndarray) -> dict:
     """Groups and distinct links of two id lists over the same bytes."""
     a, b = np.asarray(a_ids, dtype=np.int64), np.asarray(b_ids, dtype=np.int64)
     ends_a, ends_b = np.cumsum(a_len[a]), np.cumsum(b_len[b])
-    at_a = dict(zip(ends_a.tolist(), range(len(a))))
-    at_b = dict(zip(ends_b.tolist(), range(len(b))))
-    common = sorted(at_a.keys() & at_b.keys())
+    size = 1 + max(ends_a[-1:].max(initial=0), ends_b[-1:].max(initial=0))
+    at_a, at_b = _by_end(ends_a, size), _by_end(ends_b, size)
+    common = np.flatnonzero((at_a >= 0) & (at_b >= 0))
     g = len(common)
     # The dictionaries give the last token of each group on both sides; the groups are the slices between.
-    last_a = np.fromiter(map(at_a.__getitem__, common), np.int64, g)
-    last_b = np.fromiter(map(at_b.__getitem__, common), np.int64, g)
+    last_a, last_b = at_a[common].astype(np.int64), at_b[common].astype(np.int64)
     size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
     ga, gb = np.repeat(np.arange(g), size_a), np.repeat(np.arange(g), size_b)
     n_links = int((size_a * size_b).sum())
