@@ -401,7 +401,7 @@ def shipped_index(spark, sf):
     from msgpulse.sources.lexicon import SPAM_PHRASES
 
     tail = F.when(F.col("likes") % 3 == 0, F.lit(" News Digest")).otherwise(F.lit(""))
-    documents = document_messages(spark, sf).withColumn("body", F.concat("body", tail))
+    documents = document_messages(spark, sf, "merge").withColumn("body", F.concat("body", tail))
     return phrases.matching(documents, SPAM_PHRASES, ignore_case=True).select("id")
 
 

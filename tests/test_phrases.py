@@ -69,7 +69,8 @@ def test_characters_beyond_the_basic_plane(spark):
     assert got == plain and len(got) == 8
 
 
-def test_texts_do_not_travel_with_their_runs(spark, messages):
+@pytest.mark.parametrize("ignore_case", [False, True])
+def test_texts_do_not_travel_with_their_runs(spark, messages, ignore_case):
     """A text of n characters has up to n runs: a shuffle that holds both is the square of the text."""
 
     def joins(node):
@@ -79,6 +80,6 @@ def test_texts_do_not_travel_with_their_runs(spark, messages):
         for child in children:
             yield from joins(child)
 
-    plan = phrases.matching(messages, ["free", "license"])._jdf.queryExecution().optimizedPlan()
+    plan = phrases.matching(messages, ["free", "license"], ignore_case)._jdf.queryExecution().optimizedPlan()
     by_run = [sides for sides in joins(plan) if any("run" in names for names in sides)]
     assert by_run and not any({"_text", "body"} & names for sides in by_run for names in sides)
